@@ -1,0 +1,349 @@
+"""The text operators on small awkward tables, against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from plainsql.llm import bpe, compact_windows, dart_minhash, language_id, linear, packing, quality_ftrl, quality_rules, suffix_dedup, telephony, toxicity
+
+rng = random.Random(5)
+VOCABULARY = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäé") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCABULARY) + r.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
+
+
+PASSAGE = prose(70, 99)
+LONG = prose(9000, 98)
+
+
+def texts():
+    base = prose(300, 1).split(" ")
+    near = base[:150] + ["changed"] + base[151:]
+    far = base[:100] + prose(200, 7).split(" ")
+    return [
+        (1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(far)), (5, None), (6, ""), (7, " \n\t "),
+        (8, prose(80, 2) + "\n" + PASSAGE + "\n" + prose(60, 3)), (9, prose(40, 4) + " " + PASSAGE + " " + prose(90, 5)), (10, "one two three"), (11, "one two  three"),
+        (12, "x" * 3000), (13, "y" + "x" * 200), (14, "same line here\n" * 60), (15, "a b c " * 100), (16, LONG), (17, LONG[:2000]), (None, PASSAGE), (19, "tie"), (19, "tie"), (20, "É 日本語   \x1c \x85 don't DON'T <|endoftext|> ﬁ é \U0001f600 123\n\n  456 \t x"),
+        (21, "THE!! CAT!! " * 40), (22, "$$$ *** the&&& " * 30),
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, f"s{n}", 7) for n, (i, t) in enumerate(texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string, chunk int").repartition(3, "ids")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def by_key(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_suffix_dedup_against_brute_force(docs, none):
+    first = {}
+    number = lambda i: float("inf") if i is None else i
+    data = [(i, (t or "").encode()) for i, t in texts()]
+    for i, b in data:
+        for p in range(len(b) - 49):
+            s = b[p : p + 50]
+            first[s] = min(first.get(s, float("inf")), number(i))
+    want = []
+    for i, b in data:
+        gone = [False] * len(b)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < number(i):
+                gone[p : p + 50] = [True] * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    assert by_key(suffix_dedup.removed(docs)) == sorted(want, key=str)
+    assert suffix_dedup.removed(none).count() == 0
+
+
+def test_suffix_dedup_many_copies_over_many_chunks(spark, monkeypatch):
+    rows = [(i, prose(60, i % 7) + " " + PASSAGE + prose(30, 1000 + i % 11)) for i in range(200)]
+    first, want = {}, {}
+    for i, t in rows:
+        b, gone = t.encode(), set()
+        for p in range(len(b) - 49):
+            if first.setdefault(b[p : p + 50], i) < i:
+                gone.update(range(p, p + 50))
+        want[i] = len(gone)
+    got = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
+def test_multikey_order():
+    r = random.Random(3)
+    strings = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 30))) for _ in range(300)]
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    stop = np.cumsum([len(s) for s in strings])
+    order, shared = suffix_dedup.multikey_order(text, stop - [len(s) for s in strings], stop)
+    got = [strings[i] for i in order]
+    assert got == sorted(strings)
+    for a, b, n in zip(got, got[1:], shared[1:]):
+        assert n == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+def test_compact_windows_cover_each_passage():
+    tokens = np.array(random.Random(1).sample(range(1 << 30), 120) * 2, np.uint64)
+    counts = np.array([100, 0, 140])
+    h, text, lo, c, hi = compact_windows.windows(tokens, counts, 2, width=10)
+    begin = np.cumsum(counts) - counts
+    for t, n in enumerate(counts):
+        for i in range(n):
+            for j in range(i + 9, n):
+                assert ((text == t) & (lo <= i) & (i <= c) & (c <= j) & (j <= hi)).sum() == 1
+    assert (hi - lo + 1 >= 10).all()
+    assert begin[2] == 100
+
+
+def test_passages_that_repeat_go(docs, none):
+    got = {r.doc_id: r for r in compact_windows.deduplicated(docs, with_text=True).collect()}
+    assert got[9].n_removed_words in range(70, 72) and got[9].source_ids == [8] and got[9].n_spans == 1
+    assert " ".join(PASSAGE.split()[5:-5]) not in " ".join(got[9].kept.split())
+    assert got[None].n_removed_words == 70 and got[None].kept == "" and got[8].n_removed == 0
+    assert got[3].kept == "" and got[1].n_removed == 0 and got[2].n_removed_words == 300
+    assert 95 <= got[4].n_removed_words <= 105 and got[17].n_removed > 1900
+    for i in (5, 6, 7, 10, 11, 12, 16, 19, 20, 21, 22):
+        assert got[i].n_removed == 0, i
+    assert got[5].n_bytes == 0 and len(got) + 1 == len(texts())
+    assert compact_windows.deduplicated(none).count() == 0
+
+
+def test_near_duplicates_against_brute_force(docs, none, spark):
+    def sets(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def classes(rows):
+        parent = {}
+        find = lambda x: x if parent[x] == x else find(parent[x])
+        s = {i: sets(t or "") for i, t in rows}
+        for i in sorted(s):
+            parent[i] = i
+            for j in [j for j in parent if j != i]:
+                if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9 and find(i) != find(j):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+        return sorted((i, find(i)) for i, _ in rows)
+
+    rows = [(i, t) for i, t in texts() if i is not None]
+    got = by_key(dart_minhash.near_duplicates(docs))
+    assert sorted(x for x in got if x[0] is not None) == classes(rows) and (None, None) in got
+    assert dart_minhash.near_duplicates(none).count() == 0
+    # A chain: neighbours are near, its ends are not.
+    words = prose(200, 50).split(" ")
+    chain = []
+    for k in range(12):
+        chain.append((100 - k, " ".join(words)))
+        words[10 * k + 5] = f"new{k}"
+        words[10 * k + 100 - 60 if k > 8 else 10 * k + 50] = f"newer{k}"
+    assert by_key(dart_minhash.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"))) == sorted(classes(chain), key=str)
+
+
+def test_dart_minhash_estimates_weighted_jaccard():
+    r = np.random.default_rng(4)
+    a, b = np.arange(400, dtype=np.uint64), np.arange(100, 500, dtype=np.uint64)
+    ea, eb = linear.mix(a + np.uint64(9)), linear.mix(b + np.uint64(9))
+    s = dart_minhash.signatures(np.concatenate([ea, eb]), np.array([400, 400]), 2048)
+    assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.05
+    wa, wb = r.uniform(0.1, 4, 400), r.uniform(0.1, 4, 400)
+    s = dart_minhash.signatures(np.concatenate([ea, eb]), np.array([400, 400]), 2048, np.concatenate([wa, wb]))
+    full_a, full_b = np.zeros(500), np.zeros(500)
+    full_a[:400], full_b[100:] = wa, wb
+    assert abs((s[0] == s[1]).mean() - np.minimum(full_a, full_b).sum() / np.maximum(full_a, full_b).sum()) < 0.05
+    assert (s != 0).all()
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)]
+    got = dict(map(tuple, dart_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_quality_rules(docs, none, spark):
+    want = []
+    for i, t in texts():
+        t = t or ""
+        w = [x for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        often = Counter(grams)
+        covered = {k + d for k, g in enumerate(grams) if often[g] >= 2 for d in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want.append((i, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)))
+    got = quality_rules.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert by_key(got) == sorted(want, key=str)
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(docs).collect()}
+    assert not any(kept[i] for i in (5, 6, 7, 10, 12, 14, 15, 21, 22))
+    assert quality_rules.judged(none).count() == 0
+    documents = docs.select("doc_id", "text").toArrow()  # noqa: F841
+    ours = quality_rules.judged(docs)
+    sql = duckdb.sql(quality_rules.sql())
+    at = [sql.columns.index(c) for c in ours.columns]
+    assert sorted((str(tuple(r[a] for a in at)) for r in sql.fetchall())) == sorted(str(tuple(r)) for r in ours.collect())
+
+
+def test_bpe_equals_the_library(docs, none):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["", " ", "  a", " 　x\n\n y", "\x1c\x1d a\x1eb\x85c \xa0 d", "a" * 500, "日本語のテキスト", "éé", "I'll we've 'S x's", "\U0001f469‍\U0001f680", "<|endoftext|>", "a<|endoftext|> b", "".join(map(chr, range(1, 700)))]
+    r = random.Random(8)
+    odd += ["".join(r.choice("ab '\n\t  sé1.!\x1f᠎﻿​") for _ in range(40)) for _ in range(300)]
+    for t in odd:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert bpe.coder(path).encode(t) == ids, repr(t)
+        assert bpe.coder(path).decode(ids) == library.decode(ids, skip_special_tokens=False), repr(t)
+    want = [(i, len(ids := library.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for i, t in texts()]
+    assert by_key(bpe.round_trip(docs, path)) == sorted(want, key=str)
+    assert by_key(bpe.decoded(bpe.encoded(docs, path), path)) == sorted(((i, t or "") for i, t in texts()), key=str)
+    assert bpe.round_trip(none, path).count() == 0
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(tokens=512, segments=3, loss=300, pool=16)])
+def test_packing(docs, none, limits):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter((i, tuple([*library.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in texts())
+    rows = packing.packed(docs, path, limits=limits, with_ids=True).collect()
+    sequences, documents = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.length == len(r.ids) > 0
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        at = 0
+        for r in s:
+            assert r.offset == at
+            at += r.length
+        assert at <= limits.tokens and len(s) <= limits.segments and at <= limits.loss
+        assert at == limits.tokens or at & (at - 1) == 0
+    for r in rows:
+        documents.setdefault(r.doc_id, []).append(r)
+    for i, pieces in documents.items():
+        pieces.sort(key=lambda r: r.start)
+        copies = sum(n for (j, _), n in want.items() if j == i)
+        ids = next(x for (j, x) in want if j == i)
+        assert sum(r.length for r in pieces) == copies * len(ids) and {r.doc_tokens for r in pieces} == {len(ids)}
+        if copies == 1:
+            assert [x for r in pieces for x in r.ids] == list(ids)
+    assert set(documents) == {i for i, _ in texts()}
+    assert packing.packed(none, path).count() == 0
+
+
+def test_words_of_odd_texts_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    r = random.Random(9)
+    odd = ["", "\x1c a\x1fb", "ÉÉ Σς ΑΣ", "<|startoftext|>x <|endoftext|>", "don't 'S", " 　x\x85y"] + ["".join(r.choice("ab '\n\t  sÉ1.!\x1f́Σİ​﻿") for _ in range(40)) for _ in range(300)]
+    for t, got in zip(odd, packing.words(path, 2).ids(odd)):
+        assert np.frombuffer(got, "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_telephony(docs, none):
+    assert telephony.EXPANSIONS["mulaw"][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
+    assert telephony.EXPANSIONS["alaw"][[0x55, 0xD5, 0xAA, 0x2A]].tolist() == [-8, 8, 32256, -32256]
+    got = {r.doc_id: r for r in telephony.digests(telephony.as_media(docs)).collect()}
+    for i, t in texts():
+        b = (t or "").encode()
+        b += b"\xff" * ((-len(b)) % 576 if b else 576)
+        assert (got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-32:]))
+        assert got[i].feature == telephony.features([b])[0]
+        assert got[i].media_sha256 == hashlib.sha256(telephony.stored(b)).hexdigest()
+    pcm = {r.doc_id: r for r in telephony.to_pcm(telephony.as_media(docs, "alaw")).collect()}
+    assert pcm[6].rate == 16000 and len(pcm[6].pcm) == 4 * 576
+    assert telephony.digests(telephony.as_media(none)).count() == 0
+    with pytest.raises(ValueError):
+        telephony.samples(b"no sound")
+
+
+def test_adpcm_block_by_block():
+    r = np.random.default_rng(2)
+    blocks = r.integers(0, 256, (5, 36), dtype=np.uint8)
+    got = telephony.decode_adpcm(blocks)
+    for block, samples in zip(blocks, got):
+        value, index = int(np.frombuffer(block[:2].tobytes(), "<i2")[0]), min(int(block[2]), 88)
+        want = [value]
+        for byte in block[4:]:
+            for nibble in (int(byte) & 15, int(byte) >> 4):
+                step = telephony.STEP_SIZES[index]
+                change = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+                value = max(-32768, min(32767, value - change if nibble & 8 else value + change))
+                index = max(0, min(88, index + telephony.INDEX_STEPS[nibble & 7]))
+                want.append(value)
+        assert samples.tolist() == want
+
+
+@pytest.mark.parametrize("operator, label, bad", [(quality_ftrl.quality, "quality", "zzz&& "), (toxicity.toxicity, "toxic", "scumbag ")])
+def test_classifiers_on_held_out_rows(spark, docs, none, operator, label, bad):
+    rows, labels = [], []
+    for i in range(400):
+        x = i % 3 == 0
+        rows.append((i, prose(60, i) + (" " + bad * 4 if x else "")))
+        labels.append((i, int(x if label == "toxic" else not x)))
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (3, None)], f"doc_id long, {label} int")
+    got = operator(frame, marks).collect()
+    want = dict(labels)
+    held = [r for r in got if r.held_out]
+    assert {r.doc_id for r in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(r.predicted == want[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in operator(docs, marks).collect()) and operator(docs, marks).count() == len(texts())
+    assert operator(none, marks).count() == 0
+    assert {r.score for r in operator(docs, marks.where("false")).collect()} == {0.5}
+
+
+def test_identity_terms_are_swapped_and_levelled():
+    g = np.random.default_rng(1)
+    assert toxicity.swapped("nothing here", g) is None
+    assert toxicity.swapped("The gay man", g) != "The gay man"
+    rows = [(f"the muslim neighbour said hello {i}", int(i % 2 == 0)) for i in range(60)] + [(f"the christian neighbour said hello {i}", 0) for i in range(60)]
+    def gap(penalty):
+        w, b = toxicity.fit(rows, penalty=penalty)
+        f, n = toxicity.features(["the muslim neighbour said hello", "the christian neighbour said hello"])
+        return abs(w[f[: n[0]]].sum() - w[f[n[0] :]].sum())
+    assert gap(8.0) < gap(0.0)
+
+
+def test_language_id(spark, docs):
+    words = {"en": "the and of with from that", "de": "der und die mit nicht das", "fr": "le et la avec dans pour"}
+    train = spark.createDataFrame([(i, (w + " ") * 20, lang) for i, (lang, w) in enumerate(words.items())], "doc_id long, text string, lang string")
+    page = lambda lang, said: f'<html lang="{said}"><style>the the the</style><p>{words[lang]}</p></html>'
+    rows = [(1, "http://a.de/x", page("de", "de")), (2, "http://a.de/y", page("de", "en")), (3, "https://b.com", page("fr", "")), (4, None, None), (5, "nonsense", ""), (6, "http://a.de/z", "<html lang=de></html>"), (6, "http://a.de/z", "<html lang=de></html>")]
+    got = {r.page_id: r for r in language_id.language(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as p0"), train).collect()}
+    assert [got[i].lang for i in (1, 2, 3, 6)] == ["de", "de", "fr", "de"] and set(got) == {1, 2, 3, 4, 5, 6}
+    assert language_id.language(spark.createDataFrame([], "page_id long, url string, html string"), train).count() == 0
+    assert {r.lang for r in language_id.language(spark.createDataFrame(rows, "page_id long, url string, html string"), train.where("false")).collect()} == {None}
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(120, i), "en", "s", 0) for i in range(30)]
+    rows += [(100, prose(120, 3), "en", "s", 0), (101, prose(120, 3) + " end", "en", "s", 0), (102, prose(60, 102) + " " + " ".join(prose(120, 4).split()[20:90]) + " " + prose(60, 103), "en", "s", 0), (103, "$$$ *** the&&& " * 40, "en", "s", 0), (104, None, "en", "s", 0)]
+    rows += [(200 + i, prose(100, 300 + i) + " horrid horrid", "en", "s", 0) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("doc_id", "coalesce(text || ' the the of', text) as text", "lang", "source", "n_chars").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(200 + i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        left.append({r.doc_id for r in docs.collect()})
+    assert not left[0] & set(range(200, 230)) and set(range(30)) <= left[3]
+    assert not left[1] & {103, 104} and not left[2] & {100, 101} and 102 in left[3]
+    assert len(docs.where("doc_id = 102").first().text.split()) < 150
+    assert corpus_pipeline.run(spark, str(tmp_path)).selectExpr("count(distinct doc_id) as n").first().n == len(left[3])
