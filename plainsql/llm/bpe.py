@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +57,19 @@ class ForcedBoundaryBPE:
         for b in ranks:
             inside[list(b[:-1]), list(b[1:])] = True
         self.forced = ~inside
+        self.rows = [bytes(r) for r in self.forced]
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The word cut wherever two neighbouring bytes stand together in no token."""
-        b = np.frombuffer(word, np.uint8)
-        cuts = (np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist()
+        if len(word) <= 64:
+            rows = self.rows
+            cuts = [i for i, (a, b) in enumerate(pairwise(word), 1) if rows[a][b]]
+        else:
+            b = np.frombuffer(word, np.uint8)
+            cuts = (np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist()
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
