@@ -11,17 +11,22 @@ What a task has at its end goes into sequences with a power of two of tokens, wh
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from plainsql.llm.bpe import byte_letters
 from plainsql.llm.text import CACHE_ENTRIES, ready, slices
 
 
@@ -35,38 +40,57 @@ class Limits:
     pool: int = 2048
 
 
-class Words:
-    """The library's ids of a text, by way of its white-space separated chunks, whose ids a bounded cache keeps.
+class Words(dict):
+    """The library's ids of a text, by way of its white-space separated chunks, whose ids this bounded cache keeps.
 
-    The tokenizer drops white space and no token reaches across it, so chunks can be encoded alone.
+    The tokenizer drops white space and no token reaches across it, so chunks can be encoded alone. Chunks of common Latin
+    letters are lowered and split here and go straight to the merges; all others go through the library as a whole.
+    The end-of-word mark of the vocabulary is written as byte 255, which is in no UTF-8 text: its tokens with single bytes
+    have the least ids, so they come first, as they should.
     """
 
-    #: str.isspace() holds for these, the tokenizer's \\s does not.
+    #: str.isspace() holds for these, the tokenizer's \s does not.
     ODD = re.compile("[\x1c-\x1f]")
     SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    #: The vocabulary's own pattern, a fixed value.
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Composed letters that lower one by one: up to U+024F, without the dotted capital I and the dotless forms.
+    COMMON = re.compile("[!-~\xa1-\u012f\u0132-\u024f]+")
+    MARK = b"\xff"
 
     def __init__(self, path: str, end: int) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.end = np.array([end], "<u4").tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_ENTRIES:
-            self.cache.clear()
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        self.end = array("I", [end]).tobytes()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, suffix = byte_letters(), model["end_of_word_suffix"]
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(letters[c] for c in token.removesuffix(suffix)) + self.MARK * token.endswith(suffix): i for token, i in model["vocab"].items() if token not in special}
+        self.piece = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        if self.COMMON.fullmatch(chunk) and "<|" not in chunk:
+            low = chunk.lower()
+            if low.isalpha():
+                ids = self.piece(low.encode() + self.MARK)
+            else:
+                ids = [i for part in self.PARTS.findall(low) for i in self.piece(part.encode() + self.MARK)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out = array("I", ids).tobytes()
+        if len(chunk) <= 64:
+            self[chunk] = out
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [[c for c in self.SPACE.split(t) if c] if self.ODD.search(t) else t.split() for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.cache}
-        if new:
-            self._learn(sorted(new))
-        if len(new) > CACHE_ENTRIES or not all(c in self.cache for chunks in split for c in chunks):
-            self._learn(sorted({c for chunks in split for c in chunks}))
-        return [b"".join(map(self.cache.__getitem__, chunks)) + self.end for chunks in split]
+        split = (filter(None, self.SPACE.split(t)) if self.ODD.search(t) else t.split() for t in texts)
+        return [b"".join(map(self.__getitem__, chunks)) + self.end for chunks in split]
 
 
 TOKENIZERS: dict[tuple[str, int], Words] = {}
