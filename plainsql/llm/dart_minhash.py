@@ -6,26 +6,29 @@ a coordinate keeps the dart of the least rank. Two texts agree on a coordinate w
 similarity. Ranks are visited in slices until every coordinate has a dart, so a text of n elements costs about n plus
 k log k steps, not n times k.
 
-Coordinates are joined in bands. Exact copies stand for one text. Within a band's bucket every text is paired with the least
-one; wherever texts of a bucket are still in different classes after that, all those outside the largest class are paired with
-the rest of the bucket, so no candidate is left out. Pairs are verified on the whole sets before they link, and classes are
-the connected components of the links.
+Coordinates are joined in bands. Exact copies stand for one text. Within a band's bucket every text is paired with one pivot,
+and pairs that are verified on the whole sets join their classes. A bucket in which texts are still in different classes gets
+another pivot, and so on, as long as the last step would cost several times as much: all texts outside a bucket's largest class are paired
+with the rest of it whose sketches come near the similarity, so no candidate is left out. Only texts that link to none of their bucket's pivots come that far.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plainsql.llm.text import cut, hashed_words, mix, ready, shingles, slices
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 SHINGLE, SIMILARITY = 5, 0.8
+#: Pivots that a bucket gets at most before the texts that are left are compared with all of their bucket.
+PIVOTS = 1
 #: Least ranks of the slices: fine where many elements share a coordinate's darts, then growing by a half.
 EDGES = (0.0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0, 256.0, 384.0, 512.0, 768.0, 1024.0, 1536.0, 2048.0, 3072.0, 4096.0)
 #: A worker throws so many darts at once.
@@ -94,13 +97,20 @@ def signatures(elements: np.ndarray, counts: np.ndarray, k: int, weights: np.nda
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key (binary: the same for the same words), bands (array<long>; empty for a text without words)."""
+    """doc_id, key (binary: the same for the same words), bands and sketch (array<long>; bands are empty for a text without words).
+
+    The sketch has four bits of each coordinate.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
             words, n_words = hashed_words(b.column("text").to_pylist())
             found, n = shingles(words, n_words, SHINGLE)
-            s = signatures(found, n, bands * rows).reshape(len(n), bands, rows)
+            s = signatures(found, n, bands * rows)
+            nibbles = np.zeros((len(n), -(-bands * rows // 16), 16), np.uint64)
+            nibbles.reshape(len(n), -1)[:, : bands * rows] = s >> np.uint64(17) & np.uint64(15)
+            sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+            s = s.reshape(len(n), bands, rows)
             h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(n), bands)).copy()
             for i in range(rows):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, i])
@@ -114,11 +124,12 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     b.column("doc_id"),
                     pa.array([x.tobytes() for x in key], pa.binary()),
                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32), h[n > 0].astype(np.int64).ravel()),
+                    pa.array(list(sketch), pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "bands"],
+                names=["doc_id", "key", "bands", "sketch"],
             )
 
-    return ready(docs).mapInArrow(make, "doc_id long, key binary, bands array<long>")
+    return ready(docs).mapInArrow(make, "doc_id long, key binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -135,6 +146,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return ready(docs).mapInArrow(make, "doc_id long, shingles array<int>")
 
 
+def may_link(a: str, b: str, k: int, similarity: float) -> Column:
+    """Whether two sketches agree on as many coordinates as a pair of that similarity does, less 3.5 standard deviations."""
+    agree = similarity + (1 - similarity) / 16
+    least = math.floor(k * agree - 3.5 * math.sqrt(k * agree * (1 - agree)))
+    # A short loop over the words: unrolled, the join's condition gets too long for the compiler.
+    differ = F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)),
+        F.lit(0),
+        lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111))),
+    )
+    return differ <= k - least
+
+
 def linked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets have that Jaccard similarity at least."""
     one = sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"})
@@ -167,7 +191,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (doc_id, label) with the classes joined that links (a, b) connect."""
+    one, two = (classes.withColumnsRenamed({"doc_id": x, "label": f"l{x}"}) for x in "ab")
+    joined = components(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return cut(classes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("doc_id", F.coalesce("to", "label").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, class_id, of each row: the least doc_id among the texts that links connect it with, copies included.
 
     Null and empty texts, and texts of white space, are copies of each other. A null doc_id is in a class of its own, null.
@@ -175,23 +206,34 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     """
     s = cut(signed(docs.where(F.col("doc_id").isNotNull()), bands, rows))
     copies = s.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    texts = s.join(copies, "key").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("bands").alias("band", "h")).select("doc_id", F.col("h").alias("bucket"))
+    texts = s.join(copies, "key").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("bucket"))
     # Buckets of one text are the most by far; they go before anything is joined.
     buckets = texts.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    members = cut(texts.join(buckets.select("bucket", "least"), "bucket"))
-    sets = shingle_sets(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    first = cut(members.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(linked(first, sets, similarity))
-    classes = components(links)
-    # Buckets that still hold more than one class.
-    in_class = members.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    held = in_class.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    open_ = cut(in_class.join(mixed.select("bucket", "main"), "bucket"))
-    outside = open_.where("label != main").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"))
-    more = outside.join(open_.select("bucket", "doc_id", "label"), "bucket").where("x_label != label").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    links = links.union(linked(cut(more.join(first, ["a", "b"], "left_anti")), sets, similarity))
-    classes = components(links)
-    of_text = copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"))
+    members = cut(texts.join(buckets.select("bucket"), "bucket"))
+    ids = members.select("doc_id").distinct()
+    sets = cut(shingle_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    classes = cut(ids.select("doc_id", F.col("doc_id").alias("label")))
+    for turn in range(pivots + 1):
+        placed = members.join(classes, "doc_id")
+        mark = F.xxhash64("doc_id", F.lit(turn))
+        held = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(mark, "doc_id", "label")).alias("pick"))
+        mixed = held.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.min("pick").alias("pick"), F.count("*").alias("classes")).where("classes > 1")
+        open_ = cut(placed.join(mixed.select("bucket", "size", F.col("main.n").alias("most"), F.col("main.label").alias("main"), F.col("pick.doc_id").alias("pivot"), F.col("pick.label").alias("of")), "bucket"))
+        cost, all_ = open_.agg(F.sum(F.when(F.col("label") != F.col("main"), F.col("size"))), F.count("*")).first()
+        if not all_:
+            break
+        last = turn == pivots or cost <= 4 * all_
+        if last:
+            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
+            outside = drawn.where("label != main").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("sketch").alias("x_sketch"))
+            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "sketch")
+            pairs = outside.join(every, (F.col("bucket") == F.col("of_bucket")) & (F.col("x_label") != F.col("label")) & may_link("x_sketch", "sketch", bands * rows, similarity)).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
+        else:
+            pairs = open_.where("label != of").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        classes = merged(classes, cut(linked(pairs, sets, similarity)))
+        if last:
+            break
+    of_text = copies.join(classes.withColumnsRenamed({"doc_id": "rep"}), "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"))
     known = s.join(of_text, "key").select("doc_id", "class_id")
     return known.union(docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long")))
