@@ -89,10 +89,10 @@ def measured(docs: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
         "places",
         F.expr("sort_array(transform(filter(ordered, (x, j) -> coalesce(x.h = get(ordered, j - 1).h, false) or coalesce(x.h = get(ordered, j + 1).h, false)), x -> x.i))"),
     )
-    return places.select(
-        *(c for c in windows.columns if c != "windows"),
-        F.expr("aggregate(transform(places, (p, j) -> least(3, coalesce(get(places, j + 1) - p, 3))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
-    )
+    # The partition's number keeps filters on the result above this projection: pushed below, each would repeat all of the
+    # array expressions many times over.
+    repeated = F.expr("aggregate(transform(places, (p, j) -> least(3, coalesce(get(places, j + 1) - p, 3))), 0L, (a, x) -> a + x)")
+    return places.select(*(c for c in windows.columns if c != "windows"), F.when(F.spark_partition_id() >= 0, repeated).alias("n_repeat_words"))
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
