@@ -7,9 +7,11 @@ similarity. Ranks are visited in slices until every coordinate has a dart, so a
 k log k steps, not n times k.
 
 Coordinates are joined in bands. Exact copies stand for one text. Within a band's bucket every text is paired with one pivot,
-and pairs that are verified on the whole sets join their classes. A bucket in which texts are still in different classes gets
-another pivot, and so on, as long as the last step would cost several times as much: all texts outside a bucket's largest class are paired
-with the rest of it whose sketches come near the similarity, so no candidate is left out. Only texts that link to none of their bucket's pivots come that far.
+the text that meets the most others in all its buckets, as the original of a family does; pairs that are verified on the whole
+sets join their classes. A bucket in which texts are still in different classes gets another pivot, and so on, as long as the
+last step would cost several times as much: all texts outside a bucket's largest class are paired with the rest of it whose
+sketches come near the similarity, each pair in the first bucket that both are in, so no candidate is left out or met twice.
+Only texts that link to none of their bucket's pivots come that far.
 """
 
 from __future__ import annotations
@@ -159,6 +161,16 @@ def may_link(a: str, b: str, k: int, similarity: float) -> Column:
     return differ <= k - least
 
 
+def high(x: Column | str) -> Column:
+    """The upper half of a long, as an int."""
+    return F.shiftright(x, 32).cast("int")
+
+
+def first_shared(a: str, b: str) -> Column:
+    """The first place at which two arrays are equal, from 0; -1 where none is."""
+    return (F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1).cast("int")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets have that Jaccard similarity at least."""
     one = sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"})
@@ -192,10 +204,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (doc_id, label) with the classes joined that links (a, b) connect."""
-    one, two = (classes.withColumnsRenamed({"doc_id": x, "label": f"l{x}"}) for x in "ab")
+    """classes (doc_id, label and more) with the classes joined that links (a, b) connect."""
+    one, two = (classes.select(F.col("doc_id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    more = [c for c in classes.columns if c != "label"]
     joined = components(links.join(one, "a").join(two, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    return cut(classes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("doc_id", F.coalesce("to", "label").alias("label")))
+    return cut(classes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(*more, F.coalesce("to", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
@@ -208,14 +221,15 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     copies = s.groupBy("key").agg(F.min("doc_id").alias("rep"))
     texts = s.join(copies, "key").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("bucket"))
     # Buckets of one text are the most by far; they go before anything is joined.
-    buckets = texts.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    members = cut(texts.join(buckets.select("bucket"), "bucket"))
-    ids = members.select("doc_id").distinct()
+    buckets = texts.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size")).where("least < most")
+    members = cut(texts.join(buckets.select("bucket", "size"), "bucket"))
+    ids = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
     sets = cut(shingle_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    classes = cut(ids.select("doc_id", F.col("doc_id").alias("label")))
+    classes = cut(ids.select("doc_id", "met", F.col("doc_id").alias("label")))
     for turn in range(pivots + 1):
-        placed = members.join(classes, "doc_id")
-        mark = F.xxhash64("doc_id", F.lit(turn))
+        placed = members.drop("size").join(classes, "doc_id")
+        # Later turns draw by lot, or they would get the first turn's pivots again.
+        mark = F.struct(F.lit(0) if turn else -F.col("met"), F.xxhash64("doc_id", F.lit(turn)))
         held = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(mark, "doc_id", "label")).alias("pick"))
         mixed = held.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.min("pick").alias("pick"), F.count("*").alias("classes")).where("classes > 1")
         open_ = cut(placed.join(mixed.select("bucket", "size", F.col("main.n").alias("most"), F.col("main.label").alias("main"), F.col("pick.doc_id").alias("pivot"), F.col("pick.label").alias("of")), "bucket"))
@@ -224,13 +238,15 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
             break
         last = turn == pivots or cost <= 4 * all_
         if last:
-            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
-            outside = drawn.where("label != main").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("sketch").alias("x_sketch"))
-            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "sketch")
-            pairs = outside.join(every, (F.col("bucket") == F.col("of_bucket")) & (F.col("x_label") != F.col("label")) & may_link("x_sketch", "sketch", bands * rows, similarity)).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
+            # Bands are compared by 32 bits; that a pair seems to meet earlier than it does has a chance of bands / 2^32.
+            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", "sketch", F.transform("bands", high).alias("marks")).dropDuplicates(["doc_id"]), "doc_id")
+            outside = drawn.where("label != main").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("sketch").alias("x_sketch"), F.col("marks").alias("x_marks"))
+            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "main", "sketch", "marks")
+            # Of two texts that are both outside, the one with the lesser id stands on the left.
+            once = (F.col("bucket") == F.col("of_bucket")) & (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("doc_id")))
+            pairs = outside.join(every, once & may_link("x_sketch", "sketch", bands * rows, similarity) & (F.get("marks", first_shared("x_marks", "marks")) == high("bucket"))).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
         else:
-            pairs = open_.where("label != of").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = open_.where("label != of").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
         classes = merged(classes, cut(linked(pairs, sets, similarity)))
         if last:
             break
