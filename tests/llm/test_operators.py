@@ -125,23 +125,25 @@ def test_passages_that_repeat_go(docs, none):
     assert compact_windows.deduplicated(none).count() == 0
 
 
-def test_near_duplicates_against_brute_force(docs, none, spark):
-    def sets(t):
-        w = t.split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    def classes(rows):
-        parent = {}
-        find = lambda x: x if parent[x] == x else find(parent[x])
-        s = {i: sets(t or "") for i, t in rows}
-        for i in sorted(s):
-            parent[i] = i
-            for j in [j for j in parent if j != i]:
-                if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9 and find(i) != find(j):
-                    a, b = sorted((find(i), find(j)))
-                    parent[b] = a
-        return sorted((i, find(i)) for i, _ in rows)
+def shingle_set(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def classes(rows):
+    parent = {}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    s = {i: shingle_set(t or "") for i, t in rows}
+    for i in sorted(s):
+        parent[i] = i
+        for j in [j for j in parent if j != i]:
+            if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9 and find(i) != find(j):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return sorted((i, find(i)) for i, _ in rows)
+
 
+def test_near_duplicates_against_brute_force(docs, none, spark):
     rows = [(i, t) for i, t in texts() if i is not None]
     got = by_key(dart_minhash.near_duplicates(docs))
     assert sorted(x for x in got if x[0] is not None) == classes(rows) and (None, None) in got
@@ -156,6 +158,24 @@ def test_near_duplicates_against_brute_force(docs, none, spark):
     assert by_key(dart_minhash.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"))) == sorted(classes(chain), key=str)
 
 
+def test_last_step_of_a_family_compares_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # copies of one text with words changed: near it, but mostly not near each other
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((200 - i, " ".join(words)))
+    checked, verify = [], dart_minhash.linked
+    monkeypatch.setattr(dart_minhash, "linked", lambda pairs, *more: checked.append([tuple(sorted(x)) for x in pairs.collect()]) or verify(pairs, *more))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_key(dart_minhash.near_duplicates(frame, pivots=0)) == sorted(classes(rows), key=str)
+    assert len(checked) == 1 and len(checked[0]) == len(set(checked[0]))
+    checked.clear()
+    assert by_key(dart_minhash.near_duplicates(frame)) == sorted(classes(rows), key=str)
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     r = np.random.default_rng(4)
     a, b = np.arange(400, dtype=np.uint64), np.arange(100, 500, dtype=np.uint64)
