@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PIVOTS = 1
 #: Least ranks of the slices: fine where many elements share a coordinate's darts, then growing by a half.
 EDGES = (0.0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0, 256.0, 384.0, 512.0, 768.0, 1024.0, 1536.0, 2048.0, 3072.0, 4096.0)
+#: Bits of a set's parities.
+PARITY_BITS = 1024
 #: A worker throws so many darts at once.
 DARTS = 1 << 20
 
@@ -135,17 +137,28 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (array<int>): hashes of the distinct shingles of each text, in order."""
+    """doc_id, shingles (array<int>), parities (array<long>) of each text.
+
+    The shingles are hashes of the distinct ones, in order. A bit of the parities tells whether an odd number of them falls on it.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
             found, n = shingles(*hashed_words(b.column("text").to_pylist()), SHINGLE)
             short = (found >> np.uint64(32)) | (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32))
             short = np.unique(short)
-            sizes = np.bincount((short >> np.uint64(32)).astype(np.int64), minlength=len(n))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), short.astype(np.uint32).view(np.int32))], names=["doc_id", "shingles"])
+            owner = (short >> np.uint64(32)).astype(np.int64)
+            sizes = np.bincount(owner, minlength=len(n))
+            odd = np.bincount(owner * PARITY_BITS + (short % np.uint64(PARITY_BITS)).astype(np.int64), minlength=len(n) * PARITY_BITS) & 1
+            parities = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            columns = [
+                b.column("doc_id"),
+                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), short.astype(np.uint32).view(np.int32)),
+                pa.ListArray.from_arrays(np.arange(0, len(parities) + 1, PARITY_BITS // 64, dtype=np.int32), parities),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "parities"])
 
-    return ready(docs).mapInArrow(make, "doc_id long, shingles array<int>")
+    return ready(docs).mapInArrow(make, "doc_id long, shingles array<int>, parities array<long>")
 
 
 def may_link(a: str, b: str, k: int, similarity: float) -> Column:
@@ -172,13 +185,18 @@ def first_shared(a: str, b: str) -> Column:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets have that Jaccard similarity at least."""
-    one = sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"})
-    two = sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"})
-    both = pairs.join(one, "a").join(two, "b")
+    """The pairs (a, b) whose sets have that Jaccard similarity at least.
+
+    Each bit in which two parities differ has an element that one set lacks, so pairs with too many of them are told from the
+    parities alone, without error; only the others' sets are sent.
+    """
+    per_mille = round(similarity * 1000)
+    brief, whole = ([sets.select(F.col("doc_id").alias(x), *(c.alias(f"{n}{x}") for n, c in columns.items())) for x in "ab"] for columns in ({"n": F.size("shingles"), "p": F.col("parities")}, {"s": F.col("shingles")}))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = pairs.join(brief[0], "a").join(brief[1], "b").where(differ * (1000 + per_mille) <= (F.col("na") + F.col("nb")) * (1000 - per_mille)).select("a", "b")
     common = F.size(F.array_intersect("sa", "sb"))
     # In whole numbers, so a similarity of exactly 0.8 counts.
-    return both.where(common * 1000 >= round(similarity * 1000) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return near.join(whole[1], "b").join(whole[0], "a").where(common * 1000 >= per_mille * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

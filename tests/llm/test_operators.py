@@ -176,6 +176,29 @@ def test_last_step_of_a_family_compares_each_pair_once(spark, monkeypatch):
     assert by_key(dart_minhash.near_duplicates(frame)) == sorted(classes(rows), key=str)
 
 
+def test_linked_loses_no_pair(spark):
+    rng = random.Random(4)
+    base = [rng.randrange(-(2**31), 2**31) for _ in range(4000)]
+    sets = {i: sorted(set(rng.sample(base, n) if i % 3 else base[: n - i])) for i, n in enumerate([1, 5, 40, 45, 800, 900, 910, 3000, 3400, 3900, 4000])}
+    # Exactly 0.8, and just below.
+    sets |= {20: base[:90], 21: base[10:100], 22: base[11:100]}
+    sets |= {23: []}
+    odd = lambda s: [int.from_bytes(bytes(x), "little", signed=True) for x in np.packbits(np.bincount([v % dart_minhash.PARITY_BITS for v in s], minlength=dart_minhash.PARITY_BITS).astype(np.uint8) & 1).reshape(-1, 8)]
+    frame = spark.createDataFrame([(i, s, odd(s)) for i, s in sets.items()], "doc_id long, shingles array<int>, parities array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] or sets[b])]
+    want = {(a, b) for a, b in pairs if 10 * len(set(sets[a]) & set(sets[b])) >= 8 * len(set(sets[a]) | set(sets[b]))}
+    found = dart_minhash.linked(spark.createDataFrame(pairs, "a long, b long"), frame).collect()
+    assert sorted(map(tuple, found)) == sorted(want) and (20, 21) in want and (20, 22) not in want
+
+
+def test_parities_of_sets(spark):
+    words = [f"w{i % 700}" for i in range(3000)]
+    texts = [(1, " ".join(words)), (2, ""), (3, "one"), (4, " ".join(words[:9]))]
+    for r in dart_minhash.shingle_sets(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        bits = np.unpackbits(np.array(r.parities, np.int64).view(np.uint8))
+        assert bits.tolist() == (np.bincount([v % dart_minhash.PARITY_BITS for v in r.shingles], minlength=dart_minhash.PARITY_BITS) % 2).tolist()
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     r = np.random.default_rng(4)
     a, b = np.arange(400, dtype=np.uint64), np.arange(100, 500, dtype=np.uint64)
