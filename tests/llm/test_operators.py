@@ -125,6 +125,13 @@ def test_passages_that_repeat_go(docs, none):
     assert compact_windows.deduplicated(none).count() == 0
 
 
+def test_a_passage_twice_in_a_later_document_of_another_chunk(spark):
+    rows = [(1, prose(60, 400) + " " + PASSAGE + " " + prose(60, 401)), (5, prose(60, 402) + " " + PASSAGE + " " + prose(80, 403) + " " + PASSAGE + " " + prose(60, 404))]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.deduplicated(frame).collect()}
+    assert got[1].n_removed == 0 and got[5].n_spans == 2 and got[5].n_removed_words in range(140, 145) and got[5].source_ids == [1]
+
+
 def shingle_set(t):
     w = t.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
