@@ -132,6 +132,13 @@ def test_a_passage_twice_in_a_later_document_of_another_chunk(spark):
     assert got[1].n_removed == 0 and got[5].n_spans == 2 and got[5].n_removed_words in range(140, 145) and got[5].source_ids == [1]
 
 
+def test_a_candidate_on_which_all_functions_agree_hides_no_other():
+    # Function, later text and window, earlier chunk, number, text and window.
+    links = [(f, 0, 10, 30, 80, 0, 1, 5, 10, 30, 80) for f in range(6)] + [(f, 0, 12, 30, 78, 0, 2, 6, 12, 30, 78) for f in range(3)]
+    wanted = compact_windows._candidates([tuple(np.array(x) for x in zip(*links, strict=True))], {"hashes": 6, "enough": 3, "width": 46})
+    assert {(w[1], w[-1]) for w in wanted} == {(5, 1), (6, 2)}
+
+
 def shingle_set(t):
     w = t.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
