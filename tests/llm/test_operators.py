@@ -139,15 +139,6 @@ def test_a_candidate_on_which_all_functions_agree_hides_no_other():
     assert {(w[1], w[-1]) for w in wanted} == {(5, 1), (6, 2)}
 
 
-def test_a_passage_whose_earlier_document_is_neither_the_least_nor_the_one_before(spark):
-    phrase = prose(46, 500)
-    around = lambda i, more="": prose(60, 510 + i) + " " + phrase + " " + more + " " + prose(60, 530 + i)
-    rows = [(i, around(i, prose(6, 501) if i in (7, 12) else "")) for i in range(1, 13)]
-    got = {r.doc_id: r for r in compact_windows.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got[12].source_ids == [7] and got[12].n_removed_words in range(52, 54)
-    assert all(got[i].n_removed == 0 for i in range(1, 12))
-
-
 def shingle_set(t):
     w = t.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
