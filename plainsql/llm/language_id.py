@@ -31,7 +31,8 @@ STRENGTH = 5.0
 
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>", re.IGNORECASE | re.DOTALL)
 TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+ROOT = re.compile(r"<html\b[^>]*", re.IGNORECASE)
+DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -56,6 +57,14 @@ def visible(page: str) -> str:
     return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
 
 
+def declared(page: str) -> str:
+    """Two letters of the first language that an html tag of the page declares, or none."""
+    for tag in ROOT.finditer(page):
+        if m := DECLARED.search(tag[0]):
+            return m[1][:2].lower()
+    return ""
+
+
 def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-likelihood of each feature (rows) in each language (columns), smoothed."""
     langs = sorted({lang for _, lang in rows})
@@ -95,7 +104,7 @@ def language(pages: DataFrame, docs: DataFrame, rows: int = SAMPLE_ROWS) -> Data
                 total *= min(1.0, EVIDENCE / max(1, len(at)))
                 p = np.exp(total - total.max())
                 out.append((p / p.sum())[:k])
-            said = [(m[1][:2].lower() if (m := DECLARED.search(page[:4096])) else "") for page in b.column("text").to_pylist()]
+            said = [declared(page) for page in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said), *(pa.array([float(p[i]) for p in out]) for i in range(k))], names=["page_id", "url", "declared", *names])
 
     names = [f"p{i}" for i in range(k)]

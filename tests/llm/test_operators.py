@@ -386,6 +386,13 @@ def test_language_id(spark, docs):
     assert {r.lang for r in language_id.language(spark.createDataFrame(rows, "page_id long, url string, html string"), train.where("false")).collect()} == {None}
 
 
+def test_language_declared_late_in_a_page(spark):
+    train = spark.createDataFrame([(0, "the and of " * 20, "en"), (1, "der und die " * 20, "de")], "doc_id long, text string, lang string")
+    rows = [(1, "http://a.de/x", "<!--" + " licence" * 1000 + '--><html lang="de"><p>der</p></html>'), (2, "http://a.de/y", "<html" + " " * 5000 + "lang=en><p>the</p></html>"), (3, "http://a.de/z", "<p>der</p>" + "<html " * 20000)]
+    got = {r.page_id: r.declared for r in language_id.language(spark.createDataFrame(rows, "page_id long, url string, html string"), train).collect()}
+    assert got == {1: "de", 2: "en", 3: ""}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
