@@ -19,7 +19,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from plainsql.llm.text import CACHE_ENTRIES, ready, slices
+from plainsql.llm.text import CACHE_ENTRIES, HELD, ready, slices, tidied
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -101,6 +101,7 @@ class ForcedBoundaryBPE:
 
 
 CODERS: dict[str, ForcedBoundaryBPE] = {}
+HELD["bpe"] = CODERS
 
 
 def coder(path: str) -> ForcedBoundaryBPE:
@@ -117,7 +118,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([coder(path).encode(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return ready(docs).mapInArrow(make, "doc_id long, ids array<int>")
+    return ready(docs).mapInArrow(tidied(make, "bpe"), "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -127,7 +128,7 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if x is None else coder(path).decode(x) for x in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(make, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidied(make, "bpe"), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -146,4 +147,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 second.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return ready(docs).mapInArrow(make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ready(docs).mapInArrow(tidied(make, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

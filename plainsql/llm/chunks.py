@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from plainsql.llm.text import LAST_ID, cut, ready, slices
+from plainsql.llm.text import LAST_ID, cut, ready, slices, tidied
 
 #: Bytes of text from which a chunk is full; a longer text is a chunk alone.
 CHUNK_BYTES = 1 << 20
@@ -32,28 +32,30 @@ def load(data: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(data))
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """chunk long, docs binary: ``load`` gives ids (a null is None), and the UTF-8 texts end to end with their ends."""
+def chunked(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """chunk long, docs binary: ``load`` gives ids (a null is None), the UTF-8 texts end to end with their ends, and the column
+    ``key`` if one is named."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        place, ids, texts, keys, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def row() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([dump(ids, b"".join(texts), ends)], pa.binary())], names=["chunk", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([dump(ids, b"".join(texts), ends, *[keys] * bool(key))], pa.binary())], names=["chunk", "docs"])
 
         for b in slices(batches):
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for i, t, k in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column(key or "doc_id").to_pylist(), strict=True):
                 if ids and size + len(t) > CHUNK_BYTES:
                     yield row()
-                    place, ids, texts, size = place + 1, [], [], 0
+                    place, ids, texts, keys, size = place + 1, [], [], [], 0
                 ids.append(i)
                 texts.append(t)
+                keys.append(k)
                 size += len(t)
         if ids:
             yield row()
 
-    return cut(ready(docs).mapInArrow(make, "chunk long, docs binary"))
+    return cut(ready(docs, *[key] * bool(key)).mapInArrow(tidied(make), "chunk long, docs binary"))
 
 
 def ordered_ids(ids: list[int | None]) -> np.ndarray:
@@ -88,7 +90,7 @@ def per_chunk(chunks: DataFrame, f, schema: str) -> DataFrame:
                 columns = list(zip(*f(chunk, *load(docs)), strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return chunks.mapInArrow(make, schema)
+    return chunks.mapInArrow(tidied(make), schema)
 
 
 def per_bucket(rows: DataFrame, f, schema: str, by: str = "bucket") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainsql.llm.text import cut, hashed_words, mix, ready, shingles, slices
+from plainsql.llm.text import cut, hashed_words, mix, ready, shingles, slices, tidied
 
 BANDS, ROWS = 40, 6
 SHINGLE, SIMILARITY = 5, 0.8
@@ -133,7 +133,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 names=["doc_id", "key", "bands", "sketch"],
             )
 
-    return ready(docs).mapInArrow(make, "doc_id long, key binary, bands array<long>, sketch array<long>")
+    return ready(docs).mapInArrow(tidied(make), "doc_id long, key binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "parities"])
 
-    return ready(docs).mapInArrow(make, "doc_id long, shingles array<int>, parities array<long>")
+    return ready(docs).mapInArrow(tidied(make), "doc_id long, shingles array<int>, parities array<long>")
 
 
 def may_link(a: str, b: str, k: int, similarity: float) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainsql.llm.text import CACHE_ENTRIES, cut, ready, slices
+from plainsql.llm.text import Cache, cut, ready, slices, tidied
 
 BITS = 17
 #: Bound of the sample of documents with a language that the text model is fitted on.
@@ -36,14 +36,11 @@ DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-class Marks(dict):
+class Marks(Cache):
     """word -> feature numbers: the word, its beginning and its end."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = x = tuple(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - BITS) for w in (word, "^" + word[:3], word[-3:] + "$"))
-        return x
+    def make(self, word: str) -> tuple[int, ...]:
+        return tuple(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - BITS) for w in (word, "^" + word[:3], word[-3:] + "$"))
 
 
 MARKS = Marks()
@@ -111,7 +108,7 @@ def language(pages: DataFrame, docs: DataFrame, rows: int = SAMPLE_ROWS) -> Data
     read = ready(pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("html").alias("text"), "url"), "url").withColumnRenamed("doc_id", "page_id")
     kinds = ", ".join(f"{n} double" for n in names)
     host = F.lower(F.coalesce(F.parse_url(F.when(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/\\]+"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9.:_-]+", 0)), F.lit("HOST")), F.lit("")))
-    scored = cut(read.mapInArrow(make, f"page_id long, url string, declared string{', ' * bool(k)}{kinds}").select("page_id", host.alias("host"), "declared", *names))
+    scored = cut(read.mapInArrow(tidied(make), f"page_id long, url string, declared string{', ' * bool(k)}{kinds}").select("page_id", host.alias("host"), "declared", *names))
     if not k:
         return scored.select("page_id", "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainsql.llm.text import WORD_IDS, mix, ready, slices
+from plainsql.llm.text import WORD_IDS, Cache, mix, ready, slices, tidied
 
 #: Hashed features: 2 to this power.
 BITS = 20
@@ -42,19 +42,16 @@ def ngrams(texts: list[str], orders: tuple[int, ...] = (1, 2), shapes: bool = Fa
     return (flat >> np.uint64(64 - BITS)).astype(np.int64), counts
 
 
-class Shapes(dict):
+class Shapes(Cache):
     """word -> hash of its shape: A for capitals, a for letters, 0 for digits, runs once, other marks as they are."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
+    def make(self, word: str) -> int:
         out = []
         for c in word:
             k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
             if not out or out[-1] != k:
                 out.append(k)
-        self[word] = x = WORD_IDS["\0" + "".join(out[:12])]
-        return x
+        return WORD_IDS["\0" + "".join(out)]
 
 
 SHAPE_IDS = Shapes()
@@ -96,4 +93,4 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, features: Callable
             margin = margin / (np.maximum(n, 1) ** 0.5 if root else 1) + b0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=["doc_id", "score"])
 
-    return ready(docs).mapInArrow(make, "doc_id long, score double").select("doc_id", F.coalesce(~learned_from(), F.lit(False)).alias("held_out"), "score")
+    return ready(docs).mapInArrow(tidied(make), "doc_id long, score double").select("doc_id", F.coalesce(~learned_from(), F.lit(False)).alias("held_out"), "score")

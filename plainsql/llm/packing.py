@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from plainsql.llm.bpe import byte_letters
-from plainsql.llm.text import CACHE_ENTRIES, ready, slices
+from plainsql.llm.text import HELD, Cache, ready, slices, tidied
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class Limits:
     pool: int = 2048
 
 
-class Words(dict):
+class Words(Cache):
     """The library's ids of a text, by way of its white-space separated chunks, whose ids this bounded cache keeps.
 
     The tokenizer drops white space and no token reaches across it, so chunks can be encoded alone. Chunks of common Latin
@@ -71,9 +71,7 @@ class Words(dict):
         ranks = {bytes(letters[c] for c in token.removesuffix(suffix)) + self.MARK * token.endswith(suffix): i for token, i in model["vocab"].items() if token not in special}
         self.piece = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+    def make(self, chunk: str) -> bytes:
         if self.COMMON.fullmatch(chunk) and "<|" not in chunk:
             low = chunk.lower()
             if low.isalpha():
@@ -82,10 +80,7 @@ class Words(dict):
                 ids = [i for part in self.PARTS.findall(low) for i in self.piece(part.encode() + self.MARK)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        return array("I", ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
@@ -94,6 +89,7 @@ class Words(dict):
 
 
 TOKENIZERS: dict[tuple[str, int], Words] = {}
+HELD["packing"] = TOKENIZERS
 
 
 def words(path: str, end: int) -> Words:
@@ -218,4 +214,4 @@ def packed(docs: DataFrame, path: str, end: int = 2, limits: Limits = Limits(),
         yield batch(list(rows(packer.finish(), place)))
 
     extra = [docs[loss].cast("double").alias("loss")] if loss else []
-    return ready(docs, *extra).mapInArrow(make, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return ready(docs, *extra).mapInArrow(tidied(make, "packing"), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plainsql.llm.text import ready, slices
+from plainsql.llm.text import ready, slices, tidied
 
 #: Bytes of an ADPCM block, and of what a payload is padded to a multiple of.
 BLOCK = 576
@@ -147,7 +147,7 @@ def as_media(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([stored(padded(t), codec) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return ready(docs).mapInArrow(make, "doc_id long, n_bytes long, media binary")
+    return ready(docs).mapInArrow(tidied(make), "doc_id long, n_bytes long, media binary")
 
 
 def to_pcm(media: DataFrame, factor: int = 2) -> DataFrame:
@@ -171,7 +171,7 @@ def to_pcm(media: DataFrame, factor: int = 2) -> DataFrame:
                 out.append(pcm.astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rates, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "rate", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(make, "doc_id long, rate int, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(tidied(make), "doc_id long, rate int, pcm binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -196,4 +196,4 @@ def digests(media: DataFrame) -> DataFrame:
                 names=[x.split()[0] for x in schema.split(", ")],
             )
 
-    return media.mapInArrow(make, schema)
+    return media.mapInArrow(tidied(make), schema)

@@ -6,8 +6,10 @@ text counts as empty. A null doc_id stays null in the result; where ids are orde
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds; a single longer text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: What stands for a null doc_id where ids are ordered.
 LAST_ID = np.iinfo(np.int64).max
-#: Entries that a per-worker cache may hold before it is emptied.
-CACHE_ENTRIES = 300_000
+#: Entries that a per-worker cache may hold before it is emptied, and the longest word that it keeps.
+CACHE_ENTRIES, CACHED_LETTERS = 150_000, 64
 
 
 def ready(docs: DataFrame, *extra: str) -> DataFrame:
@@ -46,16 +48,62 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             start = stop
 
 
-class WordIds(dict):
-    """word -> 64-bit hash, computed once while it stays in this bounded cache."""
+class Cache(dict):
+    """word -> ``make(word)``, computed once while it stays in this bounded cache."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    every: WeakSet[Cache] = WeakSet()
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.every.add(self)
+
+    def make(self, word: str) -> object:
+        raise NotImplementedError
+
+    def __missing__(self, word: str) -> object:
+        x = self.make(word)
+        if len(word) <= CACHED_LETTERS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = x
         return x
 
 
+#: What operators keep for a worker's next tasks of the same operator, by the operator's name.
+HELD: dict[str, dict] = {}
+
+
+def tidied(f: Callable, own: str = "") -> Callable:
+    """f over batches; after its last batch the worker gives back what its caches and Arrow hold, as it stays for other tasks.
+
+    What other operators than ``own`` hold goes before the first batch.
+    """
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, held in HELD.items():
+            if name != own:
+                held.clear()
+        try:
+            yield from f(batches)
+        finally:
+            for c in list(Cache.every):
+                c.clear()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return g
+
+
+class WordIds(Cache):
+    """word -> 64-bit hash."""
+
+    def make(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 WORD_IDS = WordIds()
 
 

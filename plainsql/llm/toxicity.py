@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plainsql.llm.ftrl import FTRL, Rates, sigmoid
 from plainsql.llm.linear import BITS, SAMPLE_ROWS, sample, scored
-from plainsql.llm.text import CACHE_ENTRIES
+from plainsql.llm.text import Cache
 
 #: Terms that name a group, by kind and language; a term is swapped for others of its row.
 IDENTITY_TERMS = (
@@ -35,17 +35,13 @@ RATES = Rates(alpha=0.5, l1=1.5, l2=0.2)
 PENALTY = 1.0
 
 
-
-class Forms(dict):
+class Forms(Cache):
     """word -> numbers of its features."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+    def make(self, word: str) -> tuple[int, ...]:
         plain = word.strip(PUNCTUATION)
         names = [plain, *(f"{n}\0{plain[:n]}" for n in STEMS if len(plain) >= n)] if plain else []
-        self[word] = x = tuple(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - BITS) for w in names)
-        return x
+        return tuple(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - BITS) for w in names)
 
 
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>-_"

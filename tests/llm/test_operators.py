@@ -132,11 +132,89 @@ def test_a_passage_twice_in_a_later_document_of_another_chunk(spark):
     assert got[1].n_removed == 0 and got[5].n_spans == 2 and got[5].n_removed_words in range(140, 145) and got[5].source_ids == [1]
 
 
-def test_a_candidate_on_which_all_functions_agree_hides_no_other():
-    # Function, later text and window, earlier chunk, number, text and window.
-    links = [(f, 0, 10, 30, 80, 0, 1, 5, 10, 30, 80) for f in range(6)] + [(f, 0, 12, 30, 78, 0, 2, 6, 12, 30, 78) for f in range(3)]
-    wanted = compact_windows._candidates([tuple(np.array(x) for x in zip(*links, strict=True))], {"hashes": 6, "enough": 3, "width": 46})
-    assert {(w[1], w[-1]) for w in wanted} == {(5, 1), (6, 2)}
+def test_earlier_records_of_a_key():
+    number = np.array([1, 2, 2, 3, *range(10, 30), 40])
+    key = np.array([5, 5, 5, 5, *[7] * 20, 7], np.uint64)
+    left = np.array([0, 0, 0, 0, *range(20), 3], np.uint8)
+    e, i = compact_windows.earlier(key, number, left, np.zeros(25, np.uint8))
+    found = set(zip(e.tolist(), i.tolist()))
+    # All pairs of a small group but those of one document.
+    assert {(a, b) for a, b in found if b < 4} == {(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)}
+    # In a large one the first, the one before, and the first that reaches as far.
+    assert {a for a, b in found if b == 24} == {4, 7, 23}
+
+
+def test_passages_with_changed_words():
+    a = np.arange(1000, 1100, dtype=np.uint64)
+    for word in (0, 4, 8, 25, 44, 48, 51):  # one of 52 words changed, so at most five of 48 shingles
+        b = a[:48].copy()
+        b[max(0, word - 4) : word + 1] += np.uint64(5000)
+        (i, j), = compact_windows.passages(b, np.concatenate([a[60:90], a[:48], a[50:80]]), shift=-30)
+        assert set(range(i, j + 1)) >= set(np.flatnonzero(b < 5000).tolist()) and j - i + 1 >= 43
+    # 41 of 46 are 0.804 alike, 40 are 0.77.
+    for n, want in ((41, 1), (40, 0)):
+        b = np.concatenate([a[:n], np.arange(7000, 7100, dtype=np.uint64)])
+        assert len(compact_windows.passages(b, np.concatenate([a[:n], np.arange(8000, 8100, dtype=np.uint64)]))) == want
+    # A sentence that one text repeats and the other has once is no like passage; repeated in both it is.
+    once, often = np.concatenate([a[:7], a[20:80]]), np.tile(a[:7], 12)
+    assert compact_windows.passages(often, once) == [] and compact_windows.passages(often, often) == [(0, 83)]
+    assert compact_windows.passages(a[:10], a) == [] and compact_windows.passages(a, a[:0]) == []
+
+
+def test_edited_passages_against_brute_force(spark):
+    """Of all windows of 46 shingles that are 0.8 like one of an earlier document, nearly all are found; a phrase that most texts share hides none."""
+    r = random.Random(77)
+    phrase = prose(16, 500).split()
+    known = [prose(n, 600 + k).split() for k, n in enumerate(r.choices((52, 60, 80, 150), k=24))]
+    for k in range(0, 24, 2):
+        known[k][20:36] = phrase
+    texts = []
+    for i in range(140):
+        words = prose(r.randint(40, 90), 700 + i).split()
+        if i % 3 == 0:
+            words += phrase + prose(50, 900 + i).split()
+        else:
+            passage = list(known[i % 24])
+            for _ in range(r.randint(0, len(passage) // 40)):
+                at, kind = r.randrange(len(passage)), r.randrange(3)
+                passage[at : at + (kind != 1)] = [] if kind == 2 else [f"new{i}x{at}"]
+            words += passage + prose(40, 1100 + i).split()
+        texts.append((i, " ".join(words)))
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, 7), "doc_id long, text string")
+    got = {x.doc_id: x for x in compact_windows.deduplicated(frame, with_text=True).collect()}
+    shingled = [[hash(tuple(t.split()[k : k + 5])) for k in range(len(t.split()) - 4)] for _, t in texts]
+    kept = {i: set(" ".join(got[i].kept.split()).split()) for i, _ in texts}
+    where: dict = {}
+    due = found = wrong = 0
+    for i, s in enumerate(shingled):
+        words = texts[i][1].split()
+        like = set()
+        for k in range(len(s) - 45):
+            own = set(s[k : k + 46])
+            seen = Counter((j, at - p) for p in range(k, k + 46) for j, at in where.get(s[p], ()))
+            for (j, shift), n in seen.items():
+                if n >= 15 and any(len(own & (other := set(shingled[j][b : b + 46]))) >= 0.8 * len(own | other) for b in range(max(0, k + shift - 3), k + shift + 4) if b + 46 <= len(shingled[j])):
+                    like.add(k)
+                    break
+        for k in like:
+            due += 1
+            # A word in the middle of the window that the text has once is gone.
+            middle = [w for w in words[k + 15 : k + 35] if words.count(w) == 1]
+            found += not set(middle[:1]) & kept[i]
+        wrong += got[i].n_removed > 0 and not like
+        for p, x in enumerate(s):
+            where.setdefault(x, []).append((i, p))
+    assert due > 500 and found >= 0.97 * due and wrong == 0
+
+
+def test_a_hot_passage_over_many_chunks_and_two_sources(spark):
+    hot, other = prose(70, 41), prose(64, 42)
+    texts = [(i, prose(30, 2000 + i) + " " + hot + " " + (other + " " if i in (50, 90, 120) else "") + prose(30, 3000 + i)) for i in range(200)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, 12), "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.deduplicated(frame).collect()}
+    assert got[0].n_removed == 0 and got[50].n_removed_words in range(69, 73)
+    assert all(got[i].n_removed_words in range(69, 73) for i in range(1, 200) if i not in (90, 120))
+    assert all(got[i].n_removed_words in range(132, 138) for i in (90, 120))
 
 
 def shingle_set(t):
