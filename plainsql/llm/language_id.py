@@ -77,7 +77,7 @@ def sample(docs: DataFrame, rows: int) -> list[tuple[str, str]]:
     if not ids:
         return []
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long"))
-    return [(r.text, r.lang) for r in ready(docs.where("lang is not null"), "lang").join(few.distinct(), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    return [(r.text, r.lang) for r in ready(docs.where("lang is not null"), "lang").join(few.distinct(), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.struct("lang", "text")).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").select("x.text", "x.lang").collect()]
 
 
 def language(pages: DataFrame, docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from plainsql.llm.text import WORD_IDS, Cache, mix, ready, slices, tidied
 
@@ -65,7 +66,8 @@ def learned_from() -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """At most ``rows`` labelled (text, 0 or 1), the ones with the least hashes of doc_id, in that order; others are not looked at.
 
-    Labels are few and bounded first, so only the sampled texts reach the driver.
+    Labels are few and bounded first, so only the sampled texts reach the driver. Of several texts of one doc_id the least in
+    the order of strings is taken.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learned_from())
@@ -73,12 +75,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     if not ids:
         return []
     small = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))
-    found = ready(docs).join(small, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    found = ready(docs).join(small, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     return [(r.text, r.label) for r in found.collect()]
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, features: Callable, root: bool = False) -> DataFrame:
-    """doc_id, held_out, score of each whole text: the logistic function of the bias plus the weights of its features, with
+def scored(docs: DataFrame, weights: np.ndarray, bias: float, features: Callable, root: bool = False, row: str | None = None) -> DataFrame:
+    """doc_id, held_out, score of each whole text, and the column ``row`` as it is if one is named. A score is the logistic function of the bias plus the weights of its features, with
     ``root`` divided by the square root of their number. A text without features scores by the bias.
     """
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), float(bias)))
@@ -91,6 +93,9 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, features: Callable
             if len(found):  # each text is summed by itself, so its score does not depend on what shares its batch
                 margin[n > 0] = np.add.reduceat(w[found].astype(np.float64), (np.cumsum(n) - n)[n > 0])
             margin = margin / (np.maximum(n, 1) ** 0.5 if root else 1) + b0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500)))), *[b.column(c) for c in carried]], names=["doc_id", "score", *carried])
 
-    return ready(docs).mapInArrow(tidied(make), "doc_id long, score double").select("doc_id", F.coalesce(~learned_from(), F.lit(False)).alias("held_out"), "score")
+    carried = [row] if row else []
+    given = ready(docs, *carried)
+    schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *[given.schema[c] for c in carried]])
+    return given.mapInArrow(tidied(make), schema).select("doc_id", F.coalesce(~learned_from(), F.lit(False)).alias("held_out"), "score", *carried)

@@ -53,8 +53,8 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """doc_id and the counts that rules build on.
+def measured(docs: DataFrame, stop_words: list[str] = STOP_WORDS, row: str | None = None) -> DataFrame:
+    """doc_id and the counts that rules build on; the column ``row`` too, as it is, if one is named.
 
     Null text: no words, all counts 0. Ties and repeated rows: each row is measured alone. Empty table: no rows.
     """
@@ -62,15 +62,18 @@ def measured(docs: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     words = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *[row] * bool(row),
     ).select(
         "doc_id",
         "text",
+        *[row] * bool(row),
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\x09\x0b\x0c\x0d", "    ")) != "").alias("lines"),
     )
     # Windows of three words, as hashes of the words with the length of each, which keeps them apart.
     windows = words.select(
         "doc_id",
+        *[row] * bool(row),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -95,11 +98,11 @@ def measured(docs: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     return places.select(*(c for c in windows.columns if c != "windows"), F.when(F.spark_partition_id() >= 0, repeated).alias("n_repeat_words"))
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, row: str | None = None) -> DataFrame:
     """``measured`` with base_failed, kept, and the number of rules that each text fails."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = sum(((~r.holds()).cast("int") for r in rules), F.lit(0))
-    return measured(docs).withColumn("base_failed", base).withColumn("n_failed_rules", F.when(F.col("n_words") == 0, 0).otherwise(failed)).withColumn("kept", ~F.col("base_failed") & (F.col("n_failed_rules") == 0))
+    return measured(docs, row=row).withColumn("base_failed", base).withColumn("n_failed_rules", F.when(F.col("n_words") == 0, 0).otherwise(failed)).withColumn("kept", ~F.col("base_failed") & (F.col("n_failed_rules") == 0))
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:

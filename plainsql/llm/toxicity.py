@@ -94,11 +94,11 @@ def fit(rows: list[tuple[str, int]], rates: Rates = RATES, epochs: int = EPOCHS,
     return model.all_weights()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted of each whole text.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE_ROWS, row: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of each whole text, and the column ``row`` as it is if one is named.
 
     Null and empty texts get the score of the bias. Labels that are null or neither 0 nor 1, of a null doc_id, or of held-out
     rows are not learned from; the larger of two labels of a doc_id counts. A null doc_id is not held out.
     """
     weights, bias = fit(sample(docs, labels, "toxic", rows))
-    return scored(docs, weights, bias, features).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored(docs, weights, bias, features, row=row).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
