@@ -10,7 +10,7 @@ from plainsql import queries as Q
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINES = ["project_arith", "str_functions", "theta_join_generators", "self_join", "equi_join_where", "agg_running", "agg_running_sums", "agg_final", "group_by_positional", "tolerant_double_join", "order_by_ordinal_desc_limit", "cross_generators_mod"]
+HEADLINES = ["project_arith", "str_functions", "theta_join_generators", "self_join", "equi_join_where", "agg_running", "agg_running_sums", "agg_final", "group_by_positional", "tolerant_double_join", "order_by_ordinal_desc_limit", "divisor_search", "csv_scan"]
 
 
 def main() -> None:

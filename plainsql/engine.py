@@ -55,7 +55,8 @@ class Engine:
 
     def _run(self, s: tuple) -> DataFrame:
         if s[0] == "select":
-            return Planner(self, s[1]).plan()
+            out = Planner(self, s[1]).plan()
+            return sinks.lines(out, s[1].format) if s[1].format else out
         if s[0] == "set":
             self.variables[s[1]] = v = Planner(self, parse("select 1")[1]).value(s[2])
             return self.spark.range(1).select(v.column.alias(s[1]))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from plainsql.operators.semantics import Value, arithmetic, compare, double, text, whole
+from plainsql.sources.paths import json_values, xml_values
 
 Built = Callable[..., Value]
 REGISTRY: dict[str, tuple[int, int | None, Built]] = {}
@@ -53,7 +54,7 @@ register("mod", 2, 2, _whole2(F.try_mod))
 register("div", 2, 2, lambda a, b: num(F.when(whole(double(b)) != 0, F.call_function("div", whole(double(a)), F.when(whole(double(b)) != 0, whole(double(b)))))))
 register("xor", 2, 2, _whole2(lambda a, b: a.bitwiseXOR(b)))
 register("pow pw", 2, 2, lambda a, b: num(F.pow(double(a), double(b))))
-register("ascii", 1, 1, lambda s: num(F.ascii(only_string(s))))
+register("ascii", 1, 1, lambda s: num(F.when(only_string(s) == "", 0).otherwise(F.conv(F.substring(F.hex(F.encode(only_string(s), "UTF-8")), 1, 2), 16, 10))))
 register("char", 1, 1, lambda n: string(F.char(F.nullif(whole(double(n)), F.lit(0)))))
 register("concat", 0, None, lambda *v: string(F.concat_ws("", *(text(x) for x in v))))
 register("concat_ws", 1, None, lambda s, *v: string(F.when(s.column.isNotNull(), F.call_function("concat_ws", text(s), *(text(x) for x in v)))))
@@ -86,9 +87,33 @@ register("atan2", 2, 2, lambda a, b: num(F.atan2(double(a), double(b))))
 register("sign", 1, 1, lambda x: num(F.signum(double(x))))
 register("sqr", 1, 1, lambda x: num(double(x) * double(x)))
 register("pi", 0, 0, lambda: num(F.lit(math.pi)))
-register("random", 0, 1, lambda seed=None: num(F.rand(7)))
+SEED: dict[str, int] = {}
+
+
+def _random(seed: Value | None = None) -> Value:
+    """In [0, 1); by a literal seed, else by the one that srandom has set, else by chance."""
+    given = SEED.get("last") if seed is None or seed.literal is None else int(seed.literal)
+    return num(F.rand() if given is None else F.rand(given))
+
+
+def _srandom(seed: Value) -> Value:
+    """Sets the seed of the statements that follow; only a literal does."""
+    if seed.literal is not None:
+        SEED["last"] = int(seed.literal)
+    return num(double(seed))
+
+
+register("random", 0, 1, _random)
+register("srandom", 1, 1, _srandom)
 register("isnan", 1, 1, lambda x: num(F.isnan(double(x)).cast("int")))
 register("isinf", 1, 1, lambda x: num((F.abs(double(x)) == float("inf")).cast("int")))
 register("isfinite", 1, 1, lambda x: num((~F.isnan(double(x)) & (F.abs(double(x)) != float("inf"))).cast("int")))
-register("jsonpath get extract", 2, 2, lambda s, p: string(F.call_function("get_json_object", text(s), F.concat(F.lit("$."), F.translate(F.ltrim(text(p), F.lit("/.$")), "/", ".")))))
-register("xmlpath", 2, 2, lambda s, p: string(F.array_join(F.call_function("xpath", text(s), p.column), ",")))
+
+
+def _all(found: object) -> Value:
+    """Matches between commas; null if there is none."""
+    return string(F.when(F.size(found) > 0, F.array_join(found, ",")))
+
+
+register("jsonpath get extract", 2, 2, lambda s, p: _all(json_values(text(s), text(p))))
+register("xmlpath", 2, 2, lambda s, p: _all(xml_values(text(s), text(p))))

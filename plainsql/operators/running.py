@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, order: str | None = None, segments: int = 64) -> DataFrame:
-    """df with __segment and __place: by the column ``order`` if given (numeric or time), else as rows come from the scan."""
+    """df with __segment and __place: by the column ``order`` if given, else as rows come from the scan.
+
+    Text is dealt to segments by its first bytes, which order it as far as they go.
+    """
     if order is None:
         place = F.monotonically_increasing_id()
         return df.withColumn("__place", place).withColumn("__segment", F.shiftright("__place", 33))
-    key = F.col(f"`{order}`").cast("double")
+    column = F.col(f"`{order}`")
+    text = dict(df.dtypes)[order] == "string"
+    key = (F.conv(F.substring(F.rpad(F.hex(F.encode(column, "UTF-8")), 12, "0"), 1, 12), 16, 10) if text else column).cast("double")
     cuts = df.select(F.percentile_approx(key, [i / segments for i in range(1, segments)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     within = F.lit(0) if not cuts else F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + F.when(key > c, 1).otherwise(0))

@@ -38,6 +38,7 @@ class Planner:
         self.engine, self.select = engine, select
         self.scope: list[tuple[str, str, str, str]] = []
         self.aliases: dict[str, tuple] = {}
+        self.hidden: set[str] = set()  # columns that grouping leaves no value of
         self.made: dict[str, Value] = {}  # aggregates and group keys that are columns by now
 
     # names and expressions
@@ -51,6 +52,8 @@ class Planner:
                 return Value(F.col(physical), kind)
         if name in self.engine.variables:
             return self.engine.variables[name]
+        if name in self.hidden or rest in self.hidden:
+            raise SqlError(f"{name} is neither grouped by nor aggregated")
         return Value(F.lit(None).cast("string"), "none")
 
     def value(self, t: tuple) -> Value:
@@ -146,12 +149,43 @@ class Planner:
             if "num" in (a[3], b[3]) and {a[3], b[3]} <= {"num", "int"}:
                 return tolerant_join(left, right, a[2], b[2])
             return left.join(right, F.col(a[2]) == F.col(b[2]))
-        # An equality of doubles in WHERE is a join key as well; other equalities Catalyst finds itself.
-        pairs = [p for p in map(lambda c: self.join_keys(c, old, new), self.conjuncts(self.select.where)) if p]
-        if pairs and not any(x[3] == y[3] != "num" for x, y in pairs):
+        return self.joined(left, right, self.pairs(old, new))
+
+    def pairs(self, old: list, new: list) -> list[tuple]:
+        return [p for p in map(lambda c: self.join_keys(c, old, new), self.conjuncts(self.select.where)) if p]
+
+    @staticmethod
+    def exact(pairs: list[tuple]) -> list[tuple]:
+        return [p for p in pairs if p[0][3] == p[1][3] != "num"]
+
+    def joined(self, left: DataFrame, right: DataFrame, pairs: list[tuple]) -> DataFrame:
+        """By the equalities of WHERE: all exact ones, else a tolerant one, else every pair of rows."""
+        if exact := self.exact(pairs):
+            return left.join(right, [F.col(a[2]) == F.col(b[2]) for a, b in exact])
+        if pairs:
             return tolerant_join(left, right, pairs[0][0][2], pairs[0][1][2])
         return left.crossJoin(right)
 
+    def from_(self) -> DataFrame | None:
+        """The sources joined as they are written, or, where none depends on another, each next one by an equality if there is one."""
+        sources = self.select.sources
+        if len(sources) < 3 or any(s.on or s.kind == "generator" for s in sources):
+            df = None
+            for i, s in enumerate(sources):
+                df = self.source(df, s, i)
+            return df
+        left = []
+        for i, s in enumerate(sources):
+            before = len(self.scope)
+            left.append((self.source(None, s, i), self.scope[before:]))
+        df, scope = left.pop(0)
+        while left:
+            found = [self.pairs(scope, new) for _, new in left]
+            best = max(range(len(left)), key=lambda k: (bool(self.exact(found[k])), bool(found[k]), -k))
+            right, new = left.pop(best)
+            df, scope = self.joined(df, right, found[best]), [*scope, *new]
+        return df
+
     def conjuncts(self, t: tuple | None) -> list[tuple]:
         return [] if t is None else [*self.conjuncts(t[1]), *self.conjuncts(t[2])] if t[0] == "and" else [t]
 
@@ -161,7 +195,7 @@ class Planner:
 
         def find(name: str) -> tuple | None:
             q, _, n = name.rpartition(".")
-            return next((x for x in reversed([*old, *new]) if x[1] == name or q and x[1] == n and x[0] == q), None)
+            return next((x for x in reversed(self.scope) if x[1] == name or q and x[1] == n and x[0] == q), None)
 
         a, b = find(t[2][1]), find(t[3][1])
         if not a or not b:
@@ -184,9 +218,7 @@ class Planner:
         return out
 
     def plan(self) -> DataFrame:
-        s, df = self.select, None
-        for i, source in enumerate(s.sources):
-            df = self.source(df, source, i)
+        s, df = self.select, self.from_()
         if df is None:
             df = self.engine.spark.range(1).select()
         items = self.items()
@@ -248,6 +280,8 @@ class Planner:
             aggs.append((text, aggregates.final(name, v and v.column).alias(f"__a{i}")))
         keyed = [v.column.alias(n) for v, n in zip(values, names.values(), strict=True)]
         df = df.groupBy(*keyed).agg(*(a for _, a in aggs)) if aggs else df.select(*keyed).distinct()
+        if keys:
+            self.hidden = {x for q, n, _, _ in self.scope for x in (n, f"{q}.{n}")}
         self.scope, self.aliases = [], {}
         self.made = {text: Value(F.col(n), v.kind) for (text, n), v in zip(names.items(), values, strict=True)}
         self.made |= {text: Value(F.col(f"__a{i}"), "num") for i, (text, _) in enumerate(aggs)}
@@ -259,6 +293,8 @@ class Planner:
             name, v = self.arguments(t)
             wanted.append((f"__a{i}", name, v and v.column))
         order = self.engine.order_by and next((p for _, n, p, _ in self.scope if n == self.engine.order_by), None)
+        if self.engine.order_by and not order:
+            raise SqlError(f"no column {self.engine.order_by} to order by")
         df = running(numbered(df, order), wanted)
         self.made |= {text: Value(F.col(f"__a{i}"), "num") for i, text in enumerate(found)}
         return df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from plainsql.engine import Engine
 from plainsql.functions.aggregates import profile
 from plainsql.plans.words import pipeline
+from plainsql.sources.files import exists
 from plainsql.sources.paths import json_values, xml_values
+from plainsql.sources.sinks import lines
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -38,7 +41,7 @@ DIALECT: dict[str, tuple] = {
     "filter_comparators": ("select p_partkey from part p where p_size !> 20 and p_size !< 10 and p_size <> 15 and p_size != 16 and p_size => 11", "select p_partkey from part where p_size <= 20 and p_size >= 10 and p_size not in (15, 16) and p_size >= 11"),
     "filter_string_number_is_false": ("select n_name from nation n where not n_name = 5 and n_name > 'J'", "select n_name from nation where n_name > 'J'"),
     "filter_not_null2v": ("select o_orderkey, o_totalprice % nothing as x from orders o where not (o_totalprice < nothing) and o_orderstatus = 'F'", "select o_orderkey, null::double as x from orders where o_orderstatus = 'F'"),
-    "like_glob": ("select p_partkey, p_type from part p where p_type like '*a?*' and p_brand like 'B%'", "select p_partkey, p_type from part where p_type like '%a_%' and p_brand like 'B%'"),
+    "like_glob": ("select p_partkey, p_type from part p where p_type like '*A?*' and p_brand like 'B%'", "select p_partkey, p_type from part where p_type like '%A_%' and p_brand like 'B%'"),
     "ilike_glob": ("select p_partkey from part p where p_name ilike '*A_%'", "select p_partkey from part where p_name ilike '%A_%'"),
     "in_list": ("select n_name from nation n where n_regionkey in (1, 3) and n_nationkey not in (2, 4)", "select n_name from nation where n_regionkey in (1, 3) and n_nationkey not in (2, 4)"),
     "between": ("select p_partkey from part p where p_size between 5 and 9", "select p_partkey from part where p_size between 5 and 9"),
@@ -52,6 +55,10 @@ DIALECT: dict[str, tuple] = {
     "generator_num_step": ("select round2 as x from num(0, 2, 0.25) round2", "select (0.25 * i)::double as x from range(0, 9) t(i)"),
     "generator_correlated": ("select i, j from int(1, 20) i, int(1, i) j", "select i::double as i, j::double as j from range(1, 21) a(i), range(1, 21) b(j) where j <= i"),
     "theta_join_generators": ("select i, j from int(1, 1000) i, int(1, 1000) j where i = j", "select i::double as i, i::double as j from range(1, 1001) t(i)"),
+    "divisor_search": ("select i, j from int(2, 100) i, int(1, 2124680) j where 2124680 % j = 0", "select i::double as i, j::double as j from range(2, 101) a(i), range(1, 2124681) b(j) where 2124680 % j = 0"),
+    "join_three_mixed": ("select o_orderkey, n_name, s_suppkey from orders o, supplier s, nation n, customer c where o_custkey = c_custkey and c_nationkey = n_nationkey and s_nationkey = n_nationkey and s_acctbal > 9000 and o_totalprice > 300000",
+        "select o_orderkey, n_name, s_suppkey from orders, supplier, nation, customer where o_custkey = c_custkey and c_nationkey = n_nationkey and s_nationkey = n_nationkey and s_acctbal > 9000 and o_totalprice > 300000"),
+    "format_csv": ("format csv select n_nationkey as k, n_name as name, nothing as x from nation n where n_nationkey < 9", "select n_nationkey || ',' || n_name || ',' as \"k,name,x\" from nation where n_nationkey < 9"),
     "cross_generators_mod": ("select i, j from int(2, 100) i, int(1, 2000) j where j % i = 0 and 2124680 % j = 0", "select i::double as i, j::double as j from range(2, 101) a(i), range(1, 2001) b(j) where j % i = 0 and 2124680 % j = 0"),
     "agg_final": ("select count() as n, sum(l_quantity) as s, min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem l", "select count(*)::double as n, sum(l_quantity) as s, min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem", {"aggregate": "final"}),
     "agg_count_variants": ("select count(nothing) as a, count(o_orderstatus) as b, count(o_totalprice) as c, sum(o_orderstatus) as d from orders o", "select 0::double as a, count(o_orderstatus)::double as b, count(o_totalprice)::double as c, 0::double as d from orders", {"aggregate": "final"}),
@@ -125,7 +132,38 @@ def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).describe("nation").select("name")
 
 
+def text_file(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> str:
+    """The path of df as lines of csv, written once a session and input, in the folder that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/plainsql-text/{spark.sparkContext.applicationId}/{crc32(sf_dir.encode())}/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        lines(df, "csv").write.mode("overwrite").text(path)
+    return path
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited text of line items, scanned with a function for each row."""
+    path = text_file(spark, sf_dir, "lineitem", spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice"))
+    return engine(spark, sf_dir).sql(f'select orderkey, line, left(flag, 1) as f, quantity * 2 as q from "{path}"(orderkey,line,flag,quantity,price) t where price > 1000')
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with quotes, delimiters, backslashes, blanks and NULL in it, written as csv and read again."""
+    note = F.concat(F.lit(' "'), "c_name", F.lit('", a\\b; \''), "c_mktsegment", F.lit("'"))
+    odd = F.when(F.col("c_custkey") % 3 == 1, "NULL").when(F.col("c_custkey") % 3 == 2, "")
+    path = text_file(spark, sf_dir, "notes", spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", note.alias("note"), odd.alias("odd"), "c_acctbal"))
+    return engine(spark, sf_dir).sql(f'select k, note, odd, bal from "{path}"(k,note,odd,bal) t')
+
+
+def paths_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both path functions in the dialect, on nested texts with decoys beside the path."""
+    return engine(spark, sf_dir).sql("""select event_id, jsonpath(concat('{"z": {"k": 0}, "a": [{"b": ', props, '}]}'), '/a/k') as j, xmlpath(concat('<r><t>no</t><a><b><t>', event_type, '</t></b></a></r>'), 'a.t') as x from events e""")
+
+
 OTHERS = {
+    csv_scan: "select l_orderkey::double as orderkey, l_linenumber::double as line, l_returnflag as f, l_quantity * 2 as q from lineitem where l_extendedprice > 1000",
+    csv_round_trip: """select c_custkey::double as k, ' "' || c_name || '", a\\b; ''' || c_mktsegment || '''' as note, case when c_custkey % 3 = 1 then 'NULL' when c_custkey % 3 = 2 then '' end as odd, c_acctbal as bal from customer""",
+    paths_in_sql: "select event_id, json_extract_string(props, '$.k') as j, event_type as x from events",
     agg_running_sums: "select event_id, round(sum(value) over w, 4) as s, round(avg(value) over w + 0.0000001, 4) as a, round(stddev_samp(value) over w + 0.0000001, 4) as d from events window w as (order by event_id rows unbounded preceding)",
     agg_moments: "select l_returnflag, round(avg(l_extendedprice), 2) as a, round(stddev_samp(l_quantity), 2) as d, round(sum(l_extendedprice * (1 - l_discount)), 2) as rev from lineitem group by 1",
     math_transcendental: "select p_partkey, round(sin(p_size), 6) as a, round(cos(p_size), 6) as b, round(tan(p_size), 6) as c, round(asin(1 / p_size), 6) as d, round(acos(1 / p_size), 6) as e, round(atan(p_size), 6) as f, round(atan2(p_size, 2), 6) as g, round(cbrt(p_size), 6) as h, round(exp(p_size / 10), 6) as i, round(ln(p_size), 6) as j, round(log10(p_size), 6) as k, round(log2(p_size), 6) as m, round(degrees(p_size), 6) as n, round(radians(p_size), 6) as o, round(pi(), 6) as p from part",

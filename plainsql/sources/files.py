@@ -15,32 +15,72 @@ def sniff(line: str) -> str:
     return max(DELIMITERS, key=lambda d: (line.count(d), DELIMITERS.index(d)))
 
 
-def _clean(c: Column) -> Column:
-    c = F.ltrim(c)
-    return F.when(c.isin("", "NULL", "null", "\\N"), None).otherwise(c)
+def _body(quote: str) -> str:
+    """What may stand between quotes: the quote doubled, anything after a backslash, all else."""
+    return rf"[^{quote}\\]*+(?:(?:\\[\s\S]|{quote}{quote})[^{quote}\\]*+)*+"
+
+
+def _field(delimiter: str) -> str:
+    """A field: quoted at its start by either mark, or plain with backslashes; blanks may lead."""
+    d = "\\" + delimiter
+    return rf"""(?:[^\S\n{d}]*+(?:"{_body('"')}"|'{_body("'")}')[^{d}\n]*+|(?:[^{d}\\\n]|\\[\s\S])*+)"""
+
+
+def _clean(raw: Column) -> Column:
+    """The value of a field: empty, NULL, null and \\N without quotes are null."""
+    c = F.ltrim(raw)
+    plain = F.when(~c.isin("", "NULL", "null", "\\N"), F.regexp_replace(c, r"\\([\s\S])", "$1"))
+    out = plain
+    for q in "\"'":
+        inner = F.regexp_extract(c, rf"^{q}({_body(q)}){q}", 1)
+        out = F.when(c.rlike(rf"^{q}{_body(q)}{q}"), F.regexp_replace(inner, rf"{q}({q})|\\([\s\S])", "$1$2")).otherwise(out)
+    return out
 
 
 def as_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), F.trim(c).cast("double"))
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = True, types: dict[str, str] | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool | None = None, types: dict[str, str] | None = None) -> DataFrame:
     """A text table. Without ``columns`` the first line names them. A column whose values are all numbers becomes double.
 
-    Short rows are filled with nulls; empty cells, NULL, null and \\N are null; blank lines are skipped. ``types`` (name ->
-    double or string) spares the pass that looks at the values, and ``multiline`` off lets one file be split among tasks.
+    Fields may start with a double or a single quote; the quote is then doubled or escaped inside, and delimiters and ends of
+    lines are text. A backslash takes the next character as it is. Short rows are filled with nulls, longer ones cut; empty
+    cells, NULL, null and \\N are null; blank lines are skipped. Lines are parsed by native expressions, so a file is split among
+    tasks, unless a quote reaches over the end of a line: then each file is read whole. One pass finds that and the types;
+    ``multiline`` and ``types`` (name -> double or string) spare it.
     """
     first = spark.read.text(path).where(F.trim("value") != "").first()
     line = first[0] if first else ""
     delimiter = sniff("" if columns and len(columns) == 1 else line)
-    names = columns or [n.replace('"', "").strip() for n in line.split(delimiter)]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    raw = spark.read.csv(path, schema=schema, sep=delimiter, header=columns is None, multiLine=multiline, escape="\\", ignoreLeadingWhiteSpace=True, mode="PERMISSIVE", enforceSchema=True)
-    clean = raw.select(*(_clean(F.col(f"`{n}`")).alias(n) for n in names))
-    if types is None:
-        found = clean.agg(*(F.coalesce(F.bool_and(F.col(f"`{n}`").rlike(NUMBER)), F.lit(False)).alias(f"c{i}") for i, n in enumerate(names))).first()
-        types = {n: "double" if found[i] else "string" for i, n in enumerate(names)}
-    return clean.select(*(as_number(F.col(f"`{n}`")).alias(n) if types.get(n) == "double" else F.col(f"`{n}`") for n in names))
+    field = _field(delimiter)
+    cells = lambda text: F.regexp_extract_all(text, F.lit(rf"({field})(?:\{delimiter}|$)"), F.lit(1))
+    names = columns or [n.strip() for n in spark.range(1).select(F.transform(cells(F.lit(line)), _clean).alias("x")).first()["x"] if n is not None]
+
+    def table(whole: bool) -> DataFrame:
+        text = F.regexp_replace("value", "\r", "")
+        if whole:
+            # A backslash before the end of a line joins the next one to it.
+            records = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all(text, F.lit(rf"((?:{field}\{delimiter})*+{field})(?:\n|$)"), F.lit(1))).alias("value"))
+            records = records.select(F.regexp_replace("value", r"\\\n", "").alias("value"))
+        else:
+            records = spark.read.text(path).select(text.alias("value"))
+        records = records.where(F.trim("value") != "")
+        if columns is None:
+            records = records.where(F.col("value") != line.replace("\r", ""))
+        return records.select("value", cells(F.col("value")).alias("cells"))
+
+    clean = lambda df: df.select(*(_clean(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)))
+    if multiline is None or types is None:
+        # Whether a field starts with a quote that the line doesn't close, or a line ends with a backslash.
+        left = F.regexp_replace("value", rf"""(?:^|(?<=\{delimiter}))[^\S\n]*+(?:"{_body('"')}"|'{_body("'")}')""", "")
+        over = left.rlike(rf"""(?:^|\{delimiter})\s*["']|\\$""")
+        if multiline is None:
+            multiline = bool(table(False).agg(F.max(over).alias("x")).first()["x"])
+        if types is None:
+            found = clean(table(multiline)).agg(*(F.coalesce(F.bool_and(F.col(f"`{n}`").rlike(NUMBER)), F.lit(False)).alias(f"c{i}") for i, n in enumerate(names))).first()
+            types = {n: "double" if found[i] else "string" for i, n in enumerate(names)}
+    return clean(table(multiline)).select(*(as_number(F.col(f"`{n}`")).alias(n) if types.get(n) == "double" else F.col(f"`{n}`") for n in names))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,9 +16,10 @@ def steps(path: str) -> list[str]:
     return [s for s in re.split(r"[./]", path) if s]
 
 
-def xml_values(text: Column, path: str) -> Column:
-    """array<string> of the texts of all matching elements, in document order."""
-    return F.call_function("xpath", text, F.lit("//" + "//".join(steps(path)) + "/text()"))
+def xml_values(text: Column, path: str | Column) -> Column:
+    """array<string> of the texts of all matching elements, in document order. A path that is a column must be constant."""
+    path = F.lit(path) if isinstance(path, str) else path
+    return F.call_function("xpath", text, F.concat(F.regexp_replace(F.concat(F.lit("/"), F.trim(path, F.lit("./"))), "[./]+", "//"), F.lit("/text()")))
 
 
 def _find(node: object, wanted: list[str]) -> Iterator[str]:
@@ -31,24 +33,33 @@ def _find(node: object, wanted: list[str]) -> Iterator[str]:
             yield from _find(x, wanted[1:] if k == wanted[0] and len(wanted) > 1 else wanted)
 
 
-def json_values(text: Column, path: str) -> Column:
-    """array<string> of all matching values; keys may lack quotes. Text that is no JSON has none."""
-    wanted = steps(path)
+@cache
+def _split(path: str) -> tuple[str, ...]:
+    return tuple(steps(path))
 
-    @F.pandas_udf("array<string>")
-    def find(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[str] | None:
-            if t is None:
-                return None
+
+def _json_values(texts: pd.Series, paths: pd.Series) -> pd.Series:
+    def one(t: str | None, path: str | None) -> list[str] | None:
+        if t is None or path is None:
+            return None
+        wanted = list(_split(path))
+        if not wanted or wanted[-1] not in t:
+            return []
+        try:
+            node = json.loads(t)
+        except ValueError:
             try:
-                node = json.loads(t)
+                node = json.loads(re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', t))
             except ValueError:
-                try:
-                    node = json.loads(re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', t))
-                except ValueError:
-                    return []
-            return list(_find(node, wanted))
+                return []
+        return list(_find(node, wanted))
+
+    return pd.Series([one(t, p) for t, p in zip(texts, paths, strict=True)])
+
 
-        return texts.map(one)
+def json_values(text: Column, path: str | Column) -> Column:
+    """array<string> of all matching values; keys may lack quotes. Text that is no JSON has none.
 
-    return find(text)
+    Spark's own JSON functions take a path from the root only, so this is a pandas UDF.
+    """
+    return F.pandas_udf(_json_values, "array<string>")(text, F.lit(path) if isinstance(path, str) else path)

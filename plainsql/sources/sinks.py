@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plainsql.operators.semantics import Value, kind_of, text
+from plainsql.plans.parser import SqlError
 
 SEPARATORS = {"tab": "\t", "csv": ",", "bar": "|"}
 
@@ -12,6 +16,27 @@ def write_text(df: DataFrame, path: str, format: str = "tab") -> None:
     df.write.mode("overwrite").csv(path, sep=SEPARATORS[format], header=True, nullValue="", escape='"')
 
 
+def lines(df: DataFrame, format: str) -> DataFrame:
+    """Each row as a line of text, in one column that is named as the header line.
+
+    Nulls are empty. csv: text with a quote, a comma, a backslash, the end of a line or blanks around it stands in quotes, which
+    are doubled inside. tab and bar: what would part a field or a line is a blank.
+    """
+    if format.lower() not in SEPARATORS:
+        raise SqlError(f"no format {format}")
+    sep = SEPARATORS[format.lower()]
+
+    def cell(c: object) -> object:
+        if sep != ",":
+            return F.regexp_replace(c, rf"[\n\r\\{sep}]", " ")
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(c.rlike(r"""["',\\\n\r]|^\s|\s$""") | c.isin("", "NULL", "null"), quoted).otherwise(c)
+
+    columns = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    cells = [F.coalesce(cell(text(Value(F.col(f.name), kind_of(f.dataType)))), F.lit("")) for f in columns.schema.fields]
+    return columns.select(F.concat_ws(sep, *cells).alias(sep.join(df.columns)))
+
+
 def human(x: float | None, width: int = 7) -> str:
     """A number in ``width`` columns, with a suffix for powers of 1000."""
     if x is None:
@@ -30,7 +55,5 @@ def short(s: str | None, width: int = 7) -> str:
 
 def log_query(spark: SparkSession, path: str, state: str, sql: str, error: str = "", rows: int = 0, ms: int = 0) -> None:
     """Appends one row to the log table."""
-    from pyspark.sql import functions as F
-
     row = spark.createDataFrame([(state, sql, error, rows, ms)], "state string, sql string, error string, rows long, ms long")
     row.select(F.current_timestamp().alias("time"), "*").write.mode("append").json(path)

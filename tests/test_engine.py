@@ -135,3 +135,59 @@ def test_pushed_filters(spark, tmp_path):
     plan = e.sql("select a from t q where x = 3.5 and a < 5")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x" in plan
     assert "LessThan(a,5)" in e.sql("select a from t q where a < 5")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_fields(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a",b,\'c, d\',n\n"he said ""hi"", ok",1,\'it\'\'s\',"99"\n  x \\, y,\\N,"",3\n"back\\"slash",NULL,\'NULL\', 4 \n\n3m,5,z,\n')
+    e = Engine(spark, folder=str(tmp_path))
+    df = e.sql("select * from q f")
+    assert df.columns == ["a", "b", "c, d", "n"]
+    assert [tuple(r) for r in df.collect()] == [('he said "hi", ok', 1.0, "it's", 99.0), ("x , y", None, "", 3.0), ('back"slash', None, "NULL", 4.0), ("3m", 5.0, "z", None)]
+    # Ends of lines inside quotes, and a backslash before one.
+    (tmp_path / "nl.csv").write_text('a,b\n"one\ntwo",1\n\'three\n\nfour\',2\n"a ""q"" b",3\nfive \\\nsix,4\n')
+    assert [tuple(r) for r in e.sql("select a, b from nl f").collect()] == [("one\ntwo", 1.0), ("three\n\nfour", 2.0), ('a "q" b', 3.0), ("five six", 4.0)]
+    odd = spark.createDataFrame([(1, 'a"b', None), (2, "x,y\\z", "NULL"), (3, " 'lead", ""), (4, "plain", "two\nlines")], "k int, s string, t string")
+    e.register("odd", odd)
+    assert [r[0] for r in e.sql("format csv select k, s from odd o where k = 1").collect()] == ['1,"a""b"'] and e.sql("format bar select k, s from odd o").columns == ["k|s"]
+    e.sql("format csv select k, s, t from odd o").coalesce(1).write.text(f"{tmp_path}/again")
+    assert [tuple(r) for r in e.sql(f'select k, s, t from "{tmp_path}/again"(k,s,t) x order by k').collect()] == [(float(k), s, t) for k, s, t in odd.collect()]
+    with pytest.raises(SqlError):
+        e.sql("format nothing select 1")
+
+
+def test_grouping_hides_other_columns(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, 2), (3, 2)], "a int, b int"))
+    assert one(e, "select b, sum(a) as s from t q group by b") == (2, 4.0)
+    for bad in ("select a, b, count() from t q group by b", "select b from t q group by b having q.a > 1"):
+        with pytest.raises(SqlError):
+            e.sql(bad)
+    with pytest.raises(SqlError):
+        Engine(spark, order_by="nope").sql("select sum(1) from int(1,3) i")
+
+
+def test_joins_follow_the_equalities(spark):
+    e = Engine(spark)
+    r = random.Random(3)
+    rows = [(r.randrange(8), float(r.randrange(5))) for _ in range(40)]
+    for t in "qru":
+        e.register(t, spark.createDataFrame(rows, "a int, c double"))
+    out = e.sql("select q.a as x, r.a as y, u.c as z from q q, r r, u u where q.c = u.c and r.a = u.a")
+    assert "CartesianProduct" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    assert sorted(map(tuple, out.collect())) == sorted((q[0], x[0], u[1]) for q in rows for x in rows for u in rows if q[1] == u[1] and x[0] == u[0])
+
+
+def test_running_ordered_by_text(spark):
+    e = Engine(spark, order_by="k")
+    values = [(f"key{r:04d}é", float(r)) for r in range(300)]
+    e.register("t", spark.createDataFrame(values, "k string, v double").repartition(7))
+    got = {r.k: r.s for r in e.sql("select k, sum(v) as s from t x").collect()}
+    assert got == {k: sum(range(i + 1)) for i, (k, _) in enumerate(values)}
+
+
+def test_functions_by_byte_and_seed(spark):
+    e = Engine(spark)
+    assert one(e, "select ascii('é'), ascii('A'), ascii('')") == (195.0, 65.0, 0.0)
+    assert one(e, "select random(1)") == one(e, "select random(1)") != one(e, "select random(2)")
+    assert one(e, "select srandom(5)") == (5.0,) and one(e, "select random()") == one(e, "select random(5)")
+    assert one(e, "select xmlpath('<a><x><b>1</b></x><b>2</b></a>', '/a/b'), xmlpath('<a/>', 'b'), jsonpath('{a: {\"q\": [{\"b\": 7}]}, \"b\": 1}', 'a.b')") == ("1,2", None, "7")
