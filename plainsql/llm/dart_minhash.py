@@ -9,14 +9,14 @@ k log k steps, not n times k.
 Coordinates are joined in bands. Exact copies stand for one text. Within a band's bucket every text is paired with one pivot,
 the text that meets the most others in all its buckets, as the original of a family does; pairs that are verified on the whole
 sets join their classes. A bucket in which texts are still in different classes gets another pivot, and so on, as long as the
-last step would cost several times as much: all texts outside a bucket's largest class are paired with the rest of it whose
-sketches come near the similarity, each pair in the first bucket that both are in, so no candidate is left out or met twice.
+last step would cost several times as much: all texts outside a bucket's largest class are paired with the rest of it, each
+pair in the first bucket that both are in, so none is met twice. Pairs that the parities of their sets prove to be less alike
+are dropped there; all others are verified on the whole sets.
 Only texts that link to none of their bucket's pivots come that far.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -101,19 +101,13 @@ def signatures(elements: np.ndarray, counts: np.ndarray, k: int, weights: np.nda
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key (binary: the same for the same words), bands and sketch (array<long>; bands are empty for a text without words).
-
-    The sketch has four bits of each coordinate.
-    """
+    """doc_id, key (binary: the same for the same words), bands (array<long>, empty for a text without words)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20):
             words, n_words = hashed_words(b.column("text").to_pylist())
             found, n = shingles(words, n_words, SHINGLE)
             s = signatures(found, n, bands * rows)
-            nibbles = np.zeros((len(n), -(-bands * rows // 16), 16), np.uint64)
-            nibbles.reshape(len(n), -1)[:, : bands * rows] = s >> np.uint64(17) & np.uint64(15)
-            sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
             s = s.reshape(len(n), bands, rows)
             h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(n), bands)).copy()
             for i in range(rows):
@@ -128,12 +122,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     b.column("doc_id"),
                     pa.array([x.tobytes() for x in key], pa.binary()),
                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32), h[n > 0].astype(np.int64).ravel()),
-                    pa.array(list(sketch), pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "bands", "sketch"],
+                names=["doc_id", "key", "bands"],
             )
 
-    return ready(docs).mapInArrow(tidied(make), "doc_id long, key binary, bands array<long>, sketch array<long>")
+    return ready(docs).mapInArrow(tidied(make), "doc_id long, key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -161,17 +154,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return ready(docs).mapInArrow(tidied(make), "doc_id long, shingles array<int>, parities array<long>")
 
 
-def may_link(a: str, b: str, k: int, similarity: float) -> Column:
-    """Whether two sketches agree on as many coordinates as a pair of that similarity does, less 3.5 standard deviations."""
-    agree = similarity + (1 - similarity) / 16
-    least = math.floor(k * agree - 3.5 * math.sqrt(k * agree * (1 - agree)))
-    # A short loop over the words: unrolled, the join's condition gets too long for the compiler.
-    differ = F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)),
-        F.lit(0),
-        lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111))),
-    )
-    return differ <= k - least
+def near_parities(a: str, b: str, n_a: str, n_b: str, similarity: float) -> Column:
+    """False only for sets that are less alike: each bit in which two parities differ has an element that one set lacks."""
+    per_mille = round(similarity * 1000)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return differ * (1000 + per_mille) <= (F.col(n_a) + F.col(n_b)) * (1000 - per_mille)
 
 
 def high(x: Column | str) -> Column:
@@ -192,22 +179,22 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
     """
     per_mille = round(similarity * 1000)
     brief, whole = ([sets.select(F.col("doc_id").alias(x), *(c.alias(f"{n}{x}") for n, c in columns.items())) for x in "ab"] for columns in ({"n": F.size("shingles"), "p": F.col("parities")}, {"s": F.col("shingles")}))
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = pairs.join(brief[0], "a").join(brief[1], "b").where(differ * (1000 + per_mille) <= (F.col("na") + F.col("nb")) * (1000 - per_mille)).select("a", "b")
+    near = pairs.join(brief[0], "a").join(brief[1], "b").where(near_parities("pa", "pb", "na", "nb", similarity)).select("a", "b")
     common = F.size(F.array_intersect("sa", "sb"))
     # In whole numbers, so a similarity of exactly 0.8 counts.
     return near.join(whole[1], "b").join(whole[0], "a").where(common * 1000 >= per_mille * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that edges (a, b) connect each node with. Nodes without edges have no row.
 
-    Alternates linking each node's larger neighbours, then all its lesser ones, to its least; the number of edges does not grow.
+    Alternates linking each node's larger neighbours, then all its lesser ones, to its least, until nothing changes; the number
+    of edges does not grow, and each round that changes something lowers a label.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     e = cut(e)
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -218,7 +205,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,12 +243,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
         last = turn == pivots or cost <= 4 * all_
         if last:
             # Bands are compared by 32 bits; that a pair seems to meet earlier than it does has a chance of bands / 2^32.
-            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", "sketch", F.transform("bands", high).alias("marks")).dropDuplicates(["doc_id"]), "doc_id")
-            outside = drawn.where("label != main").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("sketch").alias("x_sketch"), F.col("marks").alias("x_marks"))
-            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "main", "sketch", "marks")
+            brief = sets.select("doc_id", F.size("shingles").alias("n"), "parities")
+            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", F.transform("bands", high).alias("marks")).dropDuplicates(["doc_id"]), "doc_id").join(brief, "doc_id")
+            outside = drawn.where("label != main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "label", "n", "parities", "marks")))
+            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "main", "n", "parities", "marks")
             # Of two texts that are both outside, the one with the lesser id stands on the left.
-            once = (F.col("bucket") == F.col("of_bucket")) & (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("doc_id")))
-            pairs = outside.join(every, once & may_link("x_sketch", "sketch", bands * rows, similarity) & (F.get("marks", first_shared("x_marks", "marks")) == high("bucket"))).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
+            once = (F.col("bucket") == F.col("of_bucket")) & (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id")))
+            pairs = outside.join(every, once & near_parities("x_parities", "parities", "x_n", "n", similarity) & (F.get("marks", first_shared("x_marks", "marks")) == high("bucket"))).select(F.col("x_doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
             pairs = open_.where("label != of").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
         classes = merged(classes, cut(linked(pairs, sets, similarity)))
