@@ -29,8 +29,10 @@ EVIDENCE = 40
 #: Pages that the level above counts as: of a host's domain, of all pages.
 STRENGTH = 5.0
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>", re.IGNORECASE | re.DOTALL)
-TAG = re.compile(r"<[^>]*>")
+#: Elements whose text is not shown.
+UNSHOWN = ("script", "style", "nav")
+OPENED = re.compile(rf"<!--|<({'|'.join(UNSHOWN)})\b", re.IGNORECASE)
+CLOSED = {"": re.compile("-->")} | {n: re.compile(rf"</{n}\s*>", re.IGNORECASE) for n in UNSHOWN}
 ROOT = re.compile(r"<html\b[^>]*", re.IGNORECASE)
 DECLARED = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,8 +52,36 @@ def features(text: str) -> np.ndarray:
     return np.fromiter(chain.from_iterable(map(MARKS.__getitem__, WORD.findall(text.lower()))), np.int64)
 
 
+def shown(page: str) -> Iterator[str]:
+    """The parts of a page between comments and elements that are not shown. One that is not closed hides nothing.
+
+    Each close is looked for once from where it can stand, so a page takes time in proportion to its length.
+    """
+    at, search, ends = 0, 0, dict.fromkeys(CLOSED, 0)
+    while m := OPENED.search(page, search):
+        kind = (m[1] or "").lower()
+        if ends[kind] is not None and ends[kind] < m.end():
+            close = CLOSED[kind].search(page, m.end())
+            ends[kind] = close.start() if close else None
+        if ends[kind] is None:
+            search = m.end()
+            continue
+        yield page[at : m.start()]
+        at = search = CLOSED[kind].match(page, ends[kind]).end()
+    yield page[at:]
+
+
+def without_tags(part: str) -> Iterator[str]:
+    """What is left of a part without its tags; an angle bracket that no other closes is text."""
+    at, last = 0, part.rfind(">")
+    while (i := part.find("<", at)) >= 0 and i < last:
+        yield part[at:i]
+        at = part.find(">", i) + 1
+    yield part[at:]
+
+
 def visible(page: str) -> str:
-    return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    return entities.unescape(" ".join(" ".join(without_tags(part)) for part in shown(page)))
 
 
 def declared(page: str) -> str:
@@ -107,7 +137,9 @@ def language(pages: DataFrame, docs: DataFrame, rows: int = SAMPLE_ROWS) -> Data
     names = [f"p{i}" for i in range(k)]
     read = ready(pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("html").alias("text"), "url"), "url").withColumnRenamed("doc_id", "page_id")
     kinds = ", ".join(f"{n} double" for n in names)
-    host = F.lower(F.coalesce(F.parse_url(F.when(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/\\]+"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9.:_-]+", 0)), F.lit("HOST")), F.lit("")))
+    # Between the slashes and the path, without user, port and a last dot; letters of any script.
+    authority = F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^\s/\\?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"(:[0-9]*)?$|\.(:[0-9]*)?$", ""))
     scored = cut(read.mapInArrow(tidied(make), f"page_id long, url string, declared string{', ' * bool(k)}{kinds}").select("page_id", host.alias("host"), "declared", *names))
     if not k:
         return scored.select("page_id", "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))

@@ -522,3 +522,48 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
                     cut = {n for n, _, t in left if t != " ".join(rows[n][1].split())}
                     assert cut == {11, 12} and [x[0] for x in left] == [0, 1, 6, 8, 9, 10, 11, 12]
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_visible_text_and_hosts(spark):
+    page = '<html><!-- x --><p>Hello <b>you</b> 1 < 2 &amp; 3</p><SCRIPT a>no</script >yes<style>no</style><nav>no <script>x</script></nav> end <script never'
+    assert language_id.visible(page).split() == "Hello you 1 yes end <script never".split()
+    for long in ("<script " * 100_000, "<" * 500_000, "<nav>" * 50_000 + "</nav>" * 50_000):
+        assert len(language_id.visible(long)) <= len(long)
+    train = spark.createDataFrame([(0, "the and of " * 20, "en"), (1, "der und die " * 20, "de")], "doc_id long, text string, lang string")
+    urls = {1: "http://MÜLLER.de/x", 2: "https://user:pw@host.de:8080/a@b", 3: "http://a.de.?q=http://b.de", 4: "no address", 5: None, 6: "ftp://a.de."}
+    rows = [(i, u, "<p>der</p>") for i, u in urls.items()]
+    got = {r.page_id: r.host for r in language_id.language(spark.createDataFrame(rows, "page_id long, url string, html string"), train).collect()}
+    assert got == {1: "müller.de", 2: "host.de", 3: "a.de", 4: "", 5: "", 6: "a.de"}
+
+
+def test_fused_posterior_against_brute_force(spark):
+    r = random.Random(6)
+    words = {"en": "the and of with from that".split(), "de": "der und die mit nicht das".split(), "fr": "le et la avec dans pour".split()}
+    train = [(i, " ".join(r.choices(w, k=30)), lang) for i, (lang, w) in enumerate(words.items())]
+    pages = []
+    for i in range(60):
+        lang = r.choice(list(words))
+        pages.append((i, f"http://{r.choice('abc')}.{r.choice(['x', 'y'])}.{r.choice(['de', 'fr', 'com'])}/", f'<html lang="{r.choice([lang, lang, "xx", ""])}"><p>{" ".join(r.choices(words[lang], k=r.randint(0, 4)))}</p>'))
+    got = {x.page_id: x for x in language_id.language(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(train, "doc_id long, text string, lang string")).collect()}
+    langs, weights = language_id.fit([(t, lang) for _, t, lang in train])
+    text, said, host = {}, {}, {}
+    for i, url, page in pages:
+        at = language_id.features(language_id.visible(page))
+        e = weights.astype(np.float32)[at].sum(0, dtype=np.float64) * min(1.0, language_id.EVIDENCE / max(1, len(at)))
+        text[i] = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        d = language_id.declared(page)
+        said[i], host[i] = d if d in langs or not d else "other", url[7:-1]
+    total = lambda key, value: sum((text[i] for i in text if key(i) == value), np.zeros(3))
+    overall = total(lambda i: 0, 0) + 1e-3
+    overall /= overall.sum()
+    declared_ = np.stack([total(said.get, x) for x in [*langs, "", "other"]]) + 0.5
+    declared_ /= declared_.sum(0)
+    for i in text:
+        h = host[i]
+        d, s, g = (total(lambda j: f(host[j]), f(h)) for f in (lambda x: x.split(".", 1)[1], lambda x: x.rsplit(".", 1)[1], lambda x: x))
+        of_domain = (d + 5 * overall) / (d.sum() + 5)
+        prior = (g + 5 * of_domain) / (g.sum() + 5)
+        suffix = (s + 5 * overall) / (s.sum() + 5) / overall
+        fused = (text[i] + 1e-12) * declared_[[*langs, "", "other"].index(said[i])] * prior * suffix
+        fused /= fused.sum()
+        assert got[i].lang == langs[int(fused.argmax())] and abs(got[i].confidence - fused.max()) < 1e-5
