@@ -29,11 +29,11 @@ def _field(delimiter: str) -> str:
 def _clean(raw: Column) -> Column:
     """The value of a field: empty, NULL, null and \\N without quotes are null."""
     c = F.ltrim(raw)
-    plain = F.when(~c.isin("", "NULL", "null", "\\N"), F.regexp_replace(c, r"\\([\s\S])", "$1"))
-    out = plain
+    out = F.when(~c.isin("", "NULL", "null", "\\N"), F.when(c.contains("\\"), F.regexp_replace(c, r"\\([\s\S])", "$1")).otherwise(c))
+    # Few fields are quoted, so the patterns stand behind a look at the first character.
     for q in "\"'":
         inner = F.regexp_extract(c, rf"^{q}({_body(q)}){q}", 1)
-        out = F.when(c.rlike(rf"^{q}{_body(q)}{q}"), F.regexp_replace(inner, rf"{q}({q})|\\([\s\S])", "$1$2")).otherwise(out)
+        out = F.when(c.startswith(q) & c.rlike(rf"^{q}{_body(q)}{q}"), F.regexp_replace(inner, rf"{q}({q})|\\([\s\S])", "$1$2")).otherwise(out)
     return out
 
 
@@ -54,7 +54,8 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     line = first[0] if first else ""
     delimiter = sniff("" if columns and len(columns) == 1 else line)
     field = _field(delimiter)
-    cells = lambda text: F.regexp_extract_all(text, F.lit(rf"({field})(?:\{delimiter}|$)"), F.lit(1))
+    odd = lambda text: text.contains('"') | text.contains("'") | text.contains("\\")
+    cells = lambda text: F.when(~odd(text), F.split(text, rf"\{delimiter}")).otherwise(F.regexp_extract_all(text, F.lit(rf"({field})(?:\{delimiter}|$)"), F.lit(1)))
     names = columns or [n.strip() for n in spark.range(1).select(F.transform(cells(F.lit(line)), _clean).alias("x")).first()["x"] if n is not None]
 
     def table(whole: bool) -> DataFrame:
@@ -75,11 +76,12 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
         # Whether a field starts with a quote that the line doesn't close, or a line ends with a backslash.
         left = F.regexp_replace("value", rf"""(?:^|(?<=\{delimiter}))[^\S\n]*+(?:"{_body('"')}"|'{_body("'")}')""", "")
         over = left.rlike(rf"""(?:^|\{delimiter})\s*["']|\\$""")
-        if multiline is None:
-            multiline = bool(table(False).agg(F.max(over).alias("x")).first()["x"])
-        if types is None:
-            found = clean(table(multiline)).agg(*(F.coalesce(F.bool_and(F.col(f"`{n}`").rlike(NUMBER)), F.lit(False)).alias(f"c{i}") for i, n in enumerate(names))).first()
-            types = {n: "double" if found[i] else "string" for i, n in enumerate(names)}
+        over = F.when(odd(F.col("value")), over).otherwise(False)
+        numbers = [F.coalesce(F.bool_and(_clean(F.get("cells", F.lit(i))).rlike(NUMBER)), F.lit(False)).alias(f"c{i}") for i in range(len(names))]
+        found = table(bool(multiline)).agg(F.max(over).alias("over"), *numbers).first()
+        if multiline is None and (multiline := bool(found["over"])) and types is None:
+            found = table(True).agg(*numbers).first()
+        types = types or {n: "double" if found[f"c{i}"] else "string" for i, n in enumerate(names)}
     return clean(table(multiline)).select(*(as_number(F.col(f"`{n}`")).alias(n) if types.get(n) == "double" else F.col(f"`{n}`") for n in names))
 
 
