@@ -82,21 +82,29 @@ def tidied(f: Callable, own: str = "") -> Callable:
     """
 
     def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, held in HELD.items():
-            if name != own:
-                held.clear()
+        drop_others(own)
         try:
             yield from f(batches)
         finally:
-            for c in list(Cache.every):
-                c.clear()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return g
 
 
+def drop_others(own: str) -> None:
+    for name, held in HELD.items():
+        if name != own:
+            held.clear()
+
+
+def give_back() -> None:
+    for c in list(Cache.every):
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class WordIds(Cache):
     """word -> 64-bit hash."""
 
