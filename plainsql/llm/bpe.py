@@ -79,7 +79,7 @@ class ForcedBoundaryBPE:
                 out += self.piece(fragment)
         ids = tuple(out)
         if len(chunk) <= 64:
-            if len(self.cache) >= CACHE_ENTRIES:
+            if len(self.cache) >= 2 * CACHE_ENTRIES:
                 self.cache.clear()
             self.cache[chunk] = ids
         return ids

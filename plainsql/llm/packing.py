@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from plainsql.llm.bpe import byte_letters
-from plainsql.llm.text import HELD, Cache, ready, slices, tidied
+from plainsql.llm.text import CACHE_ENTRIES, HELD, Cache, ready, slices, tidied
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,7 @@ class Words(Cache):
     have the least ids, so they come first, as they should.
     """
 
+    entries = 2 * CACHE_ENTRIES
     #: str.isspace() holds for these, the tokenizer's \s does not.
     ODD = re.compile("[\x1c-\x1f]")
     SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

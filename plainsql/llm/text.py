@@ -52,6 +52,7 @@ class Cache(dict):
     """word -> ``make(word)``, computed once while it stays in this bounded cache."""
 
     every: WeakSet[Cache] = WeakSet()
+    entries = CACHE_ENTRIES
     __hash__ = object.__hash__
     __eq__ = object.__eq__
 
@@ -65,7 +66,7 @@ class Cache(dict):
     def __missing__(self, word: str) -> object:
         x = self.make(word)
         if len(word) <= CACHED_LETTERS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[word] = x
         return x
@@ -86,7 +87,7 @@ def tidied(f: Callable, own: str = "") -> Callable:
         try:
             yield from f(batches)
         finally:
-            give_back()
+            give_back(bool(own))
 
     return g
 
@@ -97,8 +98,9 @@ def drop_others(own: str) -> None:
             held.clear()
 
 
-def give_back() -> None:
-    for c in list(Cache.every):
+def give_back(keep: bool) -> None:
+    """``keep``: the caches, which the next tasks of an operator that holds its own go on with."""
+    for c in [] if keep else list(Cache.every):
         c.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
