@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import subprocess
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,15 @@ from plainsql.plans.planner import Planner
 from plainsql.sources import files, sinks
 
 
+class Ran(NamedTuple):
+    """What a statement made and read, in rows, files and milliseconds."""
+
+    rows: int
+    readrows: int
+    nfiles: int
+    ms: int
+
+
 class Engine:
     """``aggregate``: running (a value for each row so far) or final. ``order_by``: a column that orders running aggregates
     instead of the order of the scan. ``security`` forbids commands as tables. ``log``: folder of the query log.
@@ -25,6 +37,7 @@ class Engine:
         self.tables: dict[str, DataFrame] = {}
         self.views: dict[str, tuple[str, list[str], str]] = {}  # name -> kind, parameters, text
         self.variables: dict[str, Value] = {}
+        self.indexes: dict[str, tuple[str, str]] = {}  # name -> table, column
 
     def register(self, name: str, df: DataFrame) -> None:
         self.tables[name] = df
@@ -34,16 +47,44 @@ class Engine:
         scalars.register(name, least, most, build)
 
     def sql(self, text: str) -> DataFrame:
+        with self._logged(text) as done:
+            out = self._run(parse(text))
+            done("planned", Ran(0, 0, 0, 0))
+        return out
+
+    def execute(self, text: str, use: Callable[[DataFrame], tuple[int, DataFrame]] | None = None) -> Ran:
+        """Runs a statement to its end and logs that. ``use`` gets the result and returns how many rows it took, and of
+        which frame; without it they are counted in the tasks that make them."""
+        with self._logged(text) as done:
+            began = time.time()
+            df = self._run(parse(text))
+            # By the frame's own plan, whose scans then know what they have read.
+            rows, df = use(df) if use else (df._jdf.queryExecution().toRdd().count(), df)
+            ran = Ran(rows, *sinks.scanned(df), int(1000 * (time.time() - began)))
+            done("end", ran)
+        return ran
+
+    @contextmanager
+    def _logged(self, text: str) -> Iterator[Callable[[str, Ran], None]]:
         began = time.time()
+
+        def done(state: str, ran: Ran, error: str = "") -> None:
+            if self.log:
+                sinks.log_query(self.spark, self.log, state, text, error, ran.rows, int(1000 * (time.time() - began)), ran.readrows, ran.nfiles)
+
         try:
-            out = self._run(parse(text))
+            yield done
         except Exception as e:
-            if self.log:
-                sinks.log_query(self.spark, self.log, "error", text, str(e), ms=int(1000 * (time.time() - began)))
+            done("error", Ran(0, 0, 0, 0), str(e))
             raise
-        if self.log:
-            sinks.log_query(self.spark, self.log, "planned", text, ms=int(1000 * (time.time() - began)))
-        return out
+
+    def scan(self, text: str, f: Callable, schema: str) -> DataFrame:
+        """A callback over the rows of a statement: f takes an iterator of pandas frames and yields such of the schema."""
+        return self.sql(text).mapInPandas(f, schema)
+
+    def each(self, text: str, f: Callable) -> None:
+        """Calls f with each row of a statement, in the tasks that have them."""
+        self.sql(text).foreach(f)
 
     def script(self, text: str) -> DataFrame | None:
         """Statements between semicolons; the last one's result."""
@@ -63,6 +104,7 @@ class Engine:
         if s[0] in ("view", "function"):
             self.views[s[1]] = s[0], s[2], s[3]
             return self.catalog().where(F.col("name") == s[1])
+        self.indexes[s[1]] = s[2], s[3]
         return self.index_report(s[2], s[3], s[1])
 
     def constant(self, v: Value) -> float:
@@ -81,14 +123,29 @@ class Engine:
         rows = [("table", n, "", "", "") for n in self.tables] + [(k, n, ",".join(p), t, "") for n, (k, p, t) in self.views.items()]
         return self.spark.createDataFrame(rows, "type string, name string, params string, `select` string, impl string")
 
+    def index_list(self) -> DataFrame:
+        return self.spark.createDataFrame([(n, t, c) for n, (t, c) in self.indexes.items()], "name string, table string, `column` string")
+
+    def table_list(self) -> DataFrame:
+        """Views and tables, registered or files of the folder, and the lines of delimited files."""
+        known = [("table", n) for n in self.tables] + [("view", n) for n in self.views]
+        names = files.listed(self.spark, self.folder)
+        known += [("view", n) for n in names if n.endswith(".sql")] + [("table", n) for n in names if n.endswith(".parquet")]
+        out = self.spark.createDataFrame(known, "type string, name string").withColumn("lines", F.lit(None).cast("long"))
+        if texts := [n for n in names if n.endswith(".csv")]:
+            lines = self.spark.read.text([f"{self.folder}/{n}" for n in texts]).groupBy(F.regexp_extract(F.input_file_name(), r"([^/]+\.csv)(/[^/]*)?$", 1).alias("name")).agg(F.count(F.lit(1)).alias("lines"))
+            named = self.spark.createDataFrame([("table", n, n.replace(" ", "%20")) for n in texts], "type string, name string, written string")
+            out = out.unionByName(named.join(lines.withColumnRenamed("name", "written"), "written", "left").select("type", "name", F.coalesce("lines", F.lit(0)).alias("lines")))
+        return out
+
     def describe(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in self.table(Source("file", table), []).schema], "name string, type string")
 
     def table(self, s: Source, args: list[Value]) -> DataFrame:
         """Registered tables, views and functions by name, then files: as given, in the folder, with .csv, .sql or .parquet added."""
         name = s.name
-        if name == "$view":
-            return self.catalog()
+        if name in ("$view", "$index", "$table"):
+            return {"$view": self.catalog, "$index": self.index_list, "$table": self.table_list}[name]()
         if name in self.tables:
             return self.tables[name]
         if name in self.views:
@@ -111,7 +168,7 @@ class Engine:
 
     def inner(self, variables: dict[str, Value]) -> Engine:
         e = Engine(self.spark, self.folder, self.aggregate, self.order_by, self.security)
-        e.tables, e.views, e.variables = self.tables, self.views, self.variables | variables
+        e.tables, e.views, e.indexes, e.variables = self.tables, self.views, self.indexes, self.variables | variables
         return e
 
     def command(self, command: str, columns: list[str] | None) -> DataFrame:

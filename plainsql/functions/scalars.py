@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plainsql.operators.semantics import Value, arithmetic, compare, double, text, whole
+from plainsql.plans.parser import SqlError
+from plainsql.sources.files import DELIMITERS, fields
 from plainsql.sources.paths import json_values, xml_values
 
 Built = Callable[..., Value]
@@ -43,6 +46,31 @@ def _type(v: Value) -> Value:
     return string(F.when(x.isNull(), "none").otherwise(known))
 
 
+def _digits(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None or math.isnan(v) else f"{v:.31g}")
+
+
+def exact(v: Value) -> object:
+    """Text of a value; of a number that is not whole, or too large for a bigint, its binary value in 31 digits. Spark's formats
+    stop at the shortest digits that tell a double from others, so those go through a pandas UDF.
+    """
+    if v.kind != "num":
+        return text(v)
+    if v.literal is not None:
+        return F.lit(f"{v.literal:.31g}")
+    x = double(v)
+    plain = (x == F.floor(x)) & (F.abs(x) < 9.2e18)
+    return F.when(plain, whole(x).cast("string")).when(F.isnan(x), "NaN").otherwise(F.pandas_udf(_digits, "string")(F.when(~plain, x)))
+
+
+def _delimited(line: Value, i: Value, delimiter: Value | None = None) -> Value:
+    """The i-th field, from 1, of a line of delimited text. The delimiter must be one of those that files have."""
+    given = "," if delimiter is None else delimiter.constant
+    if given not in DELIMITERS or len(given or "") != 1:
+        raise SqlError(f"no delimiter {given!r}")
+    return string(F.get(fields(text(line), given), whole(double(i)).cast("int") - 1))
+
+
 def _whole2(f: Callable) -> Built:
     return lambda a, b: num(f(whole(double(a)), whole(double(b))))
 
@@ -56,7 +84,7 @@ register("xor", 2, 2, _whole2(lambda a, b: a.bitwiseXOR(b)))
 register("pow pw", 2, 2, lambda a, b: num(F.pow(double(a), double(b))))
 register("ascii", 1, 1, lambda s: num(F.when(only_string(s) == "", 0).otherwise(F.conv(F.substring(F.hex(F.encode(only_string(s), "UTF-8")), 1, 2), 16, 10))))
 register("char", 1, 1, lambda n: string(F.char(F.nullif(whole(double(n)), F.lit(0)))))
-register("concat", 0, None, lambda *v: string(F.concat_ws("", *(text(x) for x in v))))
+register("concat", 0, None, lambda *v: string(F.concat_ws("", *(exact(x) for x in v))))
 register("concat_ws", 1, None, lambda s, *v: string(F.when(s.column.isNotNull(), F.call_function("concat_ws", text(s), *(text(x) for x in v)))))
 register("left", 2, 2, lambda s, n: string(F.left(only_string(s), whole(double(n)).cast("int"))))
 register("right", 2, 2, lambda s, n: string(F.right(only_string(s), whole(double(n)).cast("int"))))
@@ -115,5 +143,6 @@ def _all(found: object) -> Value:
     return string(F.when(F.size(found) > 0, F.array_join(found, ",")))
 
 
+register("csvfield from_csv", 2, 3, _delimited)
 register("jsonpath get extract", 2, 2, lambda s, p: _all(json_values(text(s), text(p))))
 register("xmlpath", 2, 2, lambda s, p: _all(xml_values(text(s), text(p))))

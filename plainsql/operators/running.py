@@ -10,6 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Plan nodes above which rows need not come in the same order each time they are computed.
+MOVING = {"Join", "Aggregate", "Sort", "Window", "RepartitionByExpression", "Repartition", "RebalancePartitions", "GlobalLimit", "Deduplicate", "Sample"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, stored if it stands above a shuffle or a join, as its rows are read twice and must come in the same order.
+
+    In the folder that spark.checkpoint.dir names; only where it names none, beside the warehouse.
+    """
+
+    def moves(p: object) -> bool:
+        below = p.children()
+        return p.nodeName() in MOVING or any(moves(below.apply(i)) for i in range(below.size()))
+
+    if not moves(df._jdf.queryExecution().optimizedPlan()):
+        return df
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, order: str | None = None, segments: int = 64) -> DataFrame:
     """df with __segment and __place: by the column ``order`` if given, else as rows come from the scan.
 

@@ -17,6 +17,8 @@ class Value(NamedTuple):
     kind: str
     #: The number, if it is a literal.
     literal: float | None = None
+    #: The text, if it is a literal.
+    constant: str | None = None
 
     @property
     def numeric(self) -> bool:

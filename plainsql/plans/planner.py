@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plainsql.functions import aggregates, scalars
 from plainsql.operators.joins import tolerant_join
-from plainsql.operators.running import numbered, running
+from plainsql.operators.running import numbered, running, settled
 from plainsql.operators.semantics import Value, arithmetic, compare, double, kind_of
 from plainsql.plans.parser import Select, Source, SqlError
 from plainsql.sources.generators import correlated, numbers
@@ -64,7 +64,7 @@ class Planner:
             whole = t[1] == int(t[1]) and abs(t[1]) < 5e8 if abs(t[1]) < 1e300 else False
             return Value(F.lit(int(t[1]) if whole else t[1]), "int" if whole else "num", t[1])
         if kind == "str":
-            return Value(F.lit(t[1]), "str")
+            return Value(F.lit(t[1]), "str", constant=t[1])
         if kind == "nothing":
             return Value(F.lit(None).cast("string"), "none")
         if kind == "name":
@@ -295,6 +295,6 @@ class Planner:
         order = self.engine.order_by and next((p for _, n, p, _ in self.scope if n == self.engine.order_by), None)
         if self.engine.order_by and not order:
             raise SqlError(f"no column {self.engine.order_by} to order by")
-        df = running(numbered(df, order), wanted)
+        df = running(numbered(df if order else settled(df), order), wanted)
         self.made |= {text: Value(F.col(f"__a{i}"), "num") for i, text in enumerate(found)}
         return df

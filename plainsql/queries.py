@@ -170,7 +170,7 @@ OTHERS = {
     json_path: "select event_id, json_extract_string(props, '$.k') as k from events",
     json_any_depth: "select event_id, json_extract_string(props, '$.k') as k from events",
     xml_path: "select n_nationkey, n_name as name from nation",
-    profile_stats: "select count(event_id) as n, count(*) - count(event_id) as n_null, min(event_id)::double as min, max(event_id)::double as max, round(avg(event_id), 4) as avg, true as never_falls, count(*) < 2 as never_rises from events",
+    profile_stats: "select count(event_id) as n, count(*) - count(event_id) as n_null, min(event_id)::double as min, max(event_id)::double as max, round(avg(event_id), 4) as avg, 0::bigint as n_str, max(event_id)::double as last, true as never_falls, count(*) < 2 as never_rises from events",
     pipeline_words: "select (i * i)::double as value from range(1, 11) t(i) where i * i < 55",
     describe_table: "select unnest(['n_nationkey', 'n_name', 'n_regionkey']) as name",
 }

@@ -37,6 +37,20 @@ def _clean(raw: Column) -> Column:
     return out
 
 
+def _odd(text: Column) -> Column:
+    return text.contains('"') | text.contains("'") | text.contains("\\")
+
+
+def _cells(text: Column, delimiter: str) -> Column:
+    """Fields of a line as they stand in it. Patterns only where there is a quote or a backslash."""
+    return F.when(~_odd(text), F.split(text, rf"\{delimiter}")).otherwise(F.regexp_extract_all(text, F.lit(rf"({_field(delimiter)})(?:\{delimiter}|$)"), F.lit(1)))
+
+
+def fields(text: Column, delimiter: str = ",") -> Column:
+    """array<string> of the values in a line of delimited text, as a table would have them."""
+    return F.transform(_cells(text, delimiter), _clean)
+
+
 def as_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), F.trim(c).cast("double"))
 
@@ -54,9 +68,7 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     line = first[0] if first else ""
     delimiter = sniff("" if columns and len(columns) == 1 else line)
     field = _field(delimiter)
-    odd = lambda text: text.contains('"') | text.contains("'") | text.contains("\\")
-    cells = lambda text: F.when(~odd(text), F.split(text, rf"\{delimiter}")).otherwise(F.regexp_extract_all(text, F.lit(rf"({field})(?:\{delimiter}|$)"), F.lit(1)))
-    names = columns or [n.strip() for n in spark.range(1).select(F.transform(cells(F.lit(line)), _clean).alias("x")).first()["x"] if n is not None]
+    names = columns or [n.strip() for n in spark.range(1).select(fields(F.lit(line), delimiter).alias("x")).first()["x"] if n is not None]
 
     def table(whole: bool) -> DataFrame:
         text = F.regexp_replace("value", "\r", "")
@@ -69,14 +81,14 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
         records = records.where(F.trim("value") != "")
         if columns is None:
             records = records.where(F.col("value") != line.replace("\r", ""))
-        return records.select("value", cells(F.col("value")).alias("cells"))
+        return records.select("value", _cells(F.col("value"), delimiter).alias("cells"))
 
     clean = lambda df: df.select(*(_clean(F.get("cells", F.lit(i))).alias(n) for i, n in enumerate(names)))
     if multiline is None or types is None:
         # Whether a field starts with a quote that the line doesn't close, or a line ends with a backslash.
         left = F.regexp_replace("value", rf"""(?:^|(?<=\{delimiter}))[^\S\n]*+(?:"{_body('"')}"|'{_body("'")}')""", "")
         over = left.rlike(rf"""(?:^|\{delimiter})\s*["']|\\$""")
-        over = F.when(odd(F.col("value")), over).otherwise(False)
+        over = F.when(_odd(F.col("value")), over).otherwise(False)
         numbers = [F.coalesce(F.bool_and(_clean(F.get("cells", F.lit(i))).rlike(NUMBER)), F.lit(False)).alias(f"c{i}") for i in range(len(names))]
         found = table(bool(multiline)).agg(F.max(over).alias("over"), *numbers).first()
         if multiline is None and (multiline := bool(found["over"])) and types is None:
@@ -92,5 +104,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder, sorted."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(x.getPath().getName() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())

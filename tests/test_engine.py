@@ -1,10 +1,14 @@
 """The dialect, sources, sinks, streams and joins on small inline data."""
 
+import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plainsql import Engine
+from plainsql.__main__ import main
+from plainsql.functions.aggregates import appended, profile
 from plainsql.operators.joins import tolerant_join
 from plainsql.plans.parser import SqlError, number, parse
 from plainsql.plans.words import pipeline
@@ -73,11 +77,115 @@ def test_commands_need_leave(spark):
 
 
 def test_log(spark, tmp_path):
-    e = Engine(spark, log=f"{tmp_path}/log")
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n3,z\n")
+    e = Engine(spark, folder=str(tmp_path), log=f"{tmp_path}/log")
     e.sql("select 1")
     with pytest.raises(SqlError):
         e.sql("select nofun()")
-    assert {r.state for r in spark.read.json(f"{tmp_path}/log").collect()} == {"planned", "error"}
+    ran = e.execute("select a from t x where a > 1")
+    assert (ran.rows, ran.nfiles) == (2, 1) and ran.readrows == 4  # the header is a line, too
+    log = spark.read.json(f"{tmp_path}/log").collect()
+    assert sorted(r.state for r in log) == ["end", "error", "planned"]
+    end = next(r for r in log if r.state == "end")
+    assert (end.rows, end.readrows, end.nfiles, end.sql) == (2, 4, 1, "select a from t x where a > 1") and end.ms > 0
+
+
+def printed(spark, arguments, lines=""):
+    out = io.StringIO()
+    return main(arguments, spark, io.StringIO(lines), out), out.getvalue()
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,foobarfoo\n2000000,\n")
+    (tmp_path / "init.txt").write_text("--no-stats\ncreate view big as select a from t x where a > 5\n")
+    folder = f"--folder={tmp_path}"
+    code, text = printed(spark, [folder, "--batch", "select a, b from t x", "select count() as n from t x where a > 5"])
+    assert (code, text) == (0, "a,b\n1,foobarfoo\n2000000,\nn\n1\n")
+    code, text = printed(spark, [folder, "--no-echo", "select a, b, a as c from t x"])
+    assert code == 0 and text.splitlines()[:4] == ["a\tb\tc", "======= ======= ======= ", "      1\tfoobar*\t      1", " 2e+06\tNULL\t 2e+06".replace(" 2e+06", "     2M")]
+    assert text.splitlines()[-1].startswith("2 rows in ") and text.endswith("(read 3 lines)\n")
+    code, text = printed(spark, [folder, "--init", f"{tmp_path}/init.txt", "--batch", "select a from big x"])
+    assert code == 0 and text.endswith("a\n2000000\n")
+    assert printed(spark, ["--no-echo", "select nofun()", "select 1 as x"]) == (1, "% no function nofun\n")
+    code, text = printed(spark, ["--batch", "--force", "select nofun()", "select 1 as x"])
+    assert code == 0 and text.endswith("x\n1\n")
+    code, text = printed(spark, ["--interactive"], "select nofun()\n\nselect 1 as x\nquit\nselect 2 as y\n")
+    assert code == 0 and "nofun" in text and "      1" in text and "y" not in text.split("nofun\n")[1]
+    assert printed(spark, ["--batch"], "select 'a,b' as x\nexit\n") == (0, 'x\n"a,b"\n')
+    with pytest.raises(SystemExit):
+        printed(spark, ["--what"])
+
+
+def test_human_numbers():
+    given = [12345, 123456, 1234567, 123456789, 0.0004, 0.00005, 1.2e5, 9.9e99, 0, -12345, -0.00005, -1.2e5, -3, 1e6, 3e6, 6e18, 1 << 20, 2048, 3 << 20, 6 << 60, None]
+    want = "12345 123456 1.235M 123.5M 0.0004 5e-05 120000 9.9e+99 0 -12.35k -50u -120k -3 1000000 3M 6E 1.049M 2048 3Mi 6Ei NULL".split()
+    assert [sinks.human(x).strip() for x in given] == want
+
+
+def test_listings(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("x\n1\n2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "v.sql").write_text("select 1")
+    e = Engine(spark, folder=str(tmp_path))
+    e.register("t", spark.range(3))
+    e.sql("create view w as select 1")
+    e.sql("create index ix on t(id)")
+    assert {tuple(r) for r in e.sql("select type, name, lines from $table a").collect()} == {("table", "t", None), ("view", "w", None), ("view", "v.sql", None), ("table", "a b.csv", 3), ("table", "empty.csv", 0)}
+    assert [tuple(r) for r in e.sql("select * from $index a").collect()] == [("ix", "t", "id")]
+
+
+def test_exact_text_of_numbers(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(0.1,), (2.0,), (1e300,), (-0.5,), (None,)], "x double"))
+    assert [r[0] for r in e.sql("select concat('a', x) as c from t y").collect()] == [f"a{0.1:.31g}", "a2", f"a{1e300:.31g}", "a-0.5", "a"]
+    assert one(e, "select concat(null, 'foo', 12345678901234567890, 'bar')") == ("foo12345678901234567168bar",)
+
+
+def test_fields_of_a_line(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([('a,"b ""c"", d", 7,',), ("",), (None,), ("x",)], "s string"))
+    assert [tuple(r) for r in e.sql("select csvfield(s, 1), csvfield(s, 2), csvfield(s, 3), csvfield(s, 4), csvfield(s, 9) from t y").collect()] == [("a", 'b "c", d', "7", None, None), (None,) * 5, (None,) * 5, ("x", None, None, None, None)]
+    assert one(e, "select from_csv('a|b', 2, '|')") == ("b",)
+    with pytest.raises(SqlError):
+        e.sql("select csvfield('a', 1, 'xx')")
+
+
+def test_callbacks(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(10))
+    seen = spark.sparkContext.accumulator(0)
+    e.each("select id from t x where id > 6", lambda r: seen.add(r.id))
+    assert seen.value == 24
+    twice = lambda frames: (f * 2 for f in frames)
+    assert sorted(r.id for r in e.scan("select id from t x where id < 3", twice, "id long").collect()) == [0, 2, 4]
+
+
+def test_appended(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i}", i if i % 5 else None) for i in range(500)]
+    got = appended(spark.createDataFrame(rows, "k string, v int").repartition(3), "k", "v", piece=20).collect()
+    assert all(r.n == len(r["values"]) <= 20 for r in got)
+    for key in {k for k, _ in rows}:
+        mine = sorted((r for r in got if r.key == key), key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(len(mine)))
+        assert sorted((v for r in mine for v in r["values"]), key=str) == sorted((v for k, v in rows if k == key), key=str)
+    assert appended(spark.createDataFrame([], "k string, v int"), "k", "v").count() == 0
+
+
+def test_profile_of_mixed_text(spark):
+    df = spark.createDataFrame([(1, "3"), (2, None), (3, "x"), (4, "5"), (5, "y")], "i int, c string")
+    r = profile(df, "c", "i").first()
+    assert (r.n, r.n_null, r.n_str, r.min, r.max, r.last) == (2, 1, 2, 3.0, 5.0, 5.0)
+
+
+def test_running_above_a_join(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(2000).withColumn("v", F.rand()))
+    e.register("u", spark.range(2000).repartition(5))
+    rows = e.sql("select $lineno as n, t.id as i, sum(t.id) as s from t t, u u where t.id = u.id").collect()
+    total = 0
+    for k, r in enumerate(sorted(rows, key=lambda r: r.n)):
+        total += r.i
+        assert (r.n, r.s) == (k + 1, total)
 
 
 def test_tolerant_join_against_all_pairs(spark):
