@@ -63,10 +63,11 @@ def compare(op: str, a: Value, b: Value, pattern: str | None = None, keep_null:
     if a.kind == "none" or b.kind == "none":
         return F.lit(False)
     if op in ("like", "ilike"):
+        x, pattern = a.column.cast("string"), b.constant if pattern is None else pattern
         if pattern is not None:
-            found = a.column.cast("string").rlike(("(?is)" if op == "ilike" else "(?s)") + glob(pattern))
+            found = x.rlike(("(?is)" if op == "ilike" else "(?s)") + glob(pattern))
         else:
-            found = a.column.cast("string").like(F.translate(b.column.cast("string"), "*?", "%_")) if op == "like" else a.column.cast("string").ilike(F.translate(b.column.cast("string"), "*?", "%_"))
+            found = F.call_function(op, x, F.replace(F.translate(b.column.cast("string"), "*?", "%_"), F.lit("\\"), F.lit("\\\\")))
         return found if keep_null else F.coalesce(found, F.lit(False))
     if a.numeric and b.numeric:
         same, less = teq(a, b), a.column < b.column

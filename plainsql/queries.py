@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainsql.engine import Engine
-from plainsql.functions.aggregates import profile
+from plainsql.functions.aggregates import appended, profile
 from plainsql.plans.words import pipeline
 from plainsql.sources.files import exists
 from plainsql.sources.paths import json_values, xml_values
@@ -83,6 +83,13 @@ DIALECT: dict[str, tuple] = {
     "table_function": ("create function above(x) as select o_orderkey from orders o where o_totalprice > x; select o_orderkey from above(300k) a", "select o_orderkey from orders where o_totalprice > 300000"),
     "set_variable": ("set @a = 2 * 3; select p_partkey, p_size * @a as x from part p where p_size < @a", "select p_partkey, (p_size * 6)::double as x from part where p_size < 6"),
     "index_report": ("create index ix on lineitem(l_partkey)", "select 'ix' as name, count(l_partkey) as entries, count(distinct l_partkey) as distinct_keys, min(l_partkey)::varchar as least, max(l_partkey)::varchar as most from lineitem"),
+    "like_in_names": ("select n_nationkey, n_name, like(n_name, '*A') as a, ilike(n_name, 'a%') as b from nation n where n_name like '?*A*'", "select n_nationkey, n_name, (n_name like '%A')::int::double as a, (n_name ilike 'a%')::int::double as b from nation where n_name like '_%A%'"),
+    "filter_case_blind": ("select n_nationkey from nation n where n_name ~= lower(n_name) and n_nationkey !> 20", "select n_nationkey from nation where n_nationkey <= 20"),
+    "comparison_as_value": ("select p_partkey, p_size > 25 as big, not p_size = 7 as other from part p", "select p_partkey, p_size > 25 as big, p_size <> 7 as other from part"),
+    "format_bar": ("format bar select n_nationkey as k, n_name as name from nation n", "select n_nationkey || '|' || n_name as \"k|name\" from nation"),
+    "csv_fields": ("select o_orderkey, csvfield(concat(o_orderstatus, ',\"x, ', o_orderkey, '\",'), 2) as f, csvfield('a|b', 2, '|') as g, csvfield('a', 2) as h from orders o", "select o_orderkey, 'x, ' || o_orderkey as f, 'b' as g, null::varchar as h from orders"),
+    "index_list": ("create index ix on nation(n_name); select * from $index i", "select 'ix' as name, 'nation' as \"table\", 'n_name' as \"column\""),
+    "registered_tables": ("select name from $table a where type = 'table' and name in ('region', 'nation')", "select unnest(['region', 'nation']) as name"),
     "catalog_view": ("create view v as select r_name from region r; select type, name from $view a where type = 'view'", "select 'view' as type, 'v' as name"),
 }
 
@@ -160,7 +167,25 @@ def paths_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).sql("""select event_id, jsonpath(concat('{"z": {"k": 0}, "a": [{"b": ', props, '}]}'), '/a/k') as j, xmlpath(concat('<r><t>no</t><a><b><t>', event_type, '</t></b></a></r>'), 'a.t') as x from events e""")
 
 
+def values_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each key put together in parts, and counted and summed again from those."""
+    parts = appended(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_returnflag", "l_orderkey", piece=1000)
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.aggregate("values", F.lit(0).cast("long"), lambda s, x: s + x)).alias("s"), (F.max(F.size("values")) <= 1000).alias("bounded"))
+
+
+def scanned_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback over batches of a statement's rows."""
+
+    def doubled(frames):
+        for f in frames:
+            yield f.assign(q=f["q"] * 2)
+
+    return engine(spark, sf_dir).scan("select l_orderkey as k, l_linenumber as line, l_quantity as q from lineitem l where l_quantity > 45", doubled, "k long, line long, q double")
+
+
 OTHERS = {
+    values_by_key: "select l_returnflag as key, count(*) as n, sum(l_orderkey)::bigint as s, true as bounded from lineitem group by 1",
+    scanned_in_batches: "select l_orderkey as k, l_linenumber::bigint as line, l_quantity * 2 as q from lineitem where l_quantity > 45",
     csv_scan: "select l_orderkey::double as orderkey, l_linenumber::double as line, l_returnflag as f, l_quantity * 2 as q from lineitem where l_extendedprice > 1000",
     csv_round_trip: """select c_custkey::double as k, ' "' || c_name || '", a\\b; ''' || c_mktsegment || '''' as note, case when c_custkey % 3 = 1 then 'NULL' when c_custkey % 3 = 2 then '' end as odd, c_acctbal as bal from customer""",
     paths_in_sql: "select event_id, json_extract_string(props, '$.k') as j, event_type as x from events",

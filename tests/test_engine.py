@@ -116,6 +116,14 @@ def test_command_line(spark, tmp_path):
         printed(spark, ["--what"])
 
 
+def test_patterns_in_columns(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([("abc", "a*"), ("abc", "A?C"), ("a\\b", "a\\*"), ("x", None), ("a\nb", "a_b")], "s string, p string"))
+    assert [r[0] for r in e.sql("select like(s, p) as x from t y").collect()] == [1, 0, 1, 0, 1]
+    assert [r[0] for r in e.sql("select ilike(s, p) as x from t y").collect()] == [1, 1, 1, 0, 1]
+    assert e.sql("select s from t y where s like p").count() == 3
+
+
 def test_human_numbers():
     given = [12345, 123456, 1234567, 123456789, 0.0004, 0.00005, 1.2e5, 9.9e99, 0, -12345, -0.00005, -1.2e5, -3, 1e6, 3e6, 6e18, 1 << 20, 2048, 3 << 20, 6 << 60, None]
     want = "12345 123456 1.235M 123.5M 0.0004 5e-05 120000 9.9e+99 0 -12.35k -50u -120k -3 1000000 3M 6E 1.049M 2048 3Mi 6Ei NULL".split()
