@@ -37,7 +37,8 @@ def kind_of(t: T.DataType) -> str:
 
 
 def double(v: Value) -> Column:
-    return v.column.cast("double")
+    """As a number; text that is none is null."""
+    return v.column.try_cast("double") if v.kind == "str" else v.column.cast("double")
 
 
 def teq(a: Value, b: Value) -> Column:

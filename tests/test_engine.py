@@ -124,6 +124,23 @@ def test_patterns_in_columns(spark):
     assert e.sql("select s from t y where s like p").count() == 3
 
 
+def test_functions_of_text_that_is_no_number(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([("4",), ("abc",), ("",), (None,)], "s string"))
+    names = "abs sqrt sin cos exp ln log10 floor ceil sign sqr degrees".split()
+    rows = [tuple(r) for r in e.sql(f"select {', '.join(f'{n}(s) as {n}' for n in names)}, add(s, 1) as a, mod(s, 3) as m, left('xyz', s) as l from t y").collect()]
+    assert rows[0][:2] == (4.0, 2.0) and rows[0][-3:] == (5.0, 1.0, "xyz")
+    assert all(set(r[: len(names)]) == {None} and r[-3:] == (1.0, None, None) for r in rows[1:])
+    assert e.sql("select s from t y where s").count() == 1
+
+
+def test_xml_that_is_not_well_formed(spark):
+    texts = ["<a><b>1<c/>2</b><x:b>no</x:b><d><b>3</b></d></a>", "<a><b>1</b>", "plain b", "", None, "<b><a>4</a></b>", "<a><b><b>5</b></b></a>", "<a><b>é &amp; <![CDATA[<b>]]></b></a>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = [r.v for r in df.select("i", xml_values(F.col("s"), "a/b").alias("v")).orderBy("i").collect()]
+    assert got == [["1", "2", "3"], [], [], [], None, [], ["5"], ["é & <b>"]]
+
+
 def test_human_numbers():
     given = [12345, 123456, 1234567, 123456789, 0.0004, 0.00005, 1.2e5, 9.9e99, 0, -12345, -0.00005, -1.2e5, -3, 1e6, 3e6, 6e18, 1 << 20, 2048, 3 << 20, 6 << 60, None]
     want = "12345 123456 1.235M 123.5M 0.0004 5e-05 120000 9.9e+99 0 -12.35k -50u -120k -3 1000000 3M 6E 1.049M 2048 3Mi 6Ei NULL".split()
