@@ -217,6 +217,41 @@ def test_a_hot_passage_over_many_chunks_and_two_sources(spark):
     assert all(got[i].n_removed_words in range(132, 138) for i in (90, 120))
 
 
+def test_every_partner_in_a_frequent_group(spark):
+    """A phrase that all texts share, too short to go alone: which two go on alike is told among hundreds of partners."""
+    phrase = prose(42, 50)
+    texts = [(i, prose(30, 4000 + i) + " " + phrase + " " + prose(10, 5000 + i % 300) + " " + prose(30, 6000 + i)) for i in range(600)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, 6), "doc_id long, text string")
+    got = {r.doc_id: r for r in compact_windows.deduplicated(frame).collect()}
+    assert all(got[i].n_removed == 0 for i in range(300))
+    found = sum(got[i].n_removed_words in range(49, 58) and i - 300 in got[i].source_ids for i in range(300, 600))
+    assert found >= 298, found
+
+
+def test_probes_meet_each_passage_that_is_left():
+    r = random.Random(8)
+    for n in (1, 30, 46, 47, 100, 300):
+        for share in (0.0, 0.02, 0.2, 1.0):
+            left = np.array([r.random() >= share for _ in range(n)]) if r.random() < 0.5 else np.repeat([r.random() >= share for _ in range(n)], 9)[:n]
+            asks = compact_windows.probes(np.array([r.randrange(5) for _ in range(n)]), left)
+            assert not (asks & ~left).any()
+            for i in range(n - 45):
+                assert asks[i : i + 46].sum() >= min(6, left[i : i + 46].sum())
+
+
+def test_hashes_of_words_part_texts_as_split_does():
+    r = random.Random(9)
+    letters = "ab\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0     　​\x00é日\U0001f600"
+    for k in range(200):
+        texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 50]))) for _ in range(r.randint(1, 6))] if k else ["x" * 100_000 + " y", "z " * 50_000, "x" * 100_000]
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        which = sorted(r.sample(range(len(texts)), r.randint(1, len(texts))))
+        hashes, counts = compact_windows.word_hashes("".join(texts).encode(), ends, which)
+        words = [w for i in which for w in texts[i].split()]
+        assert counts.tolist() == [len(texts[i].split()) for i in which]
+        assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
 def shingle_set(t):
     w = t.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
