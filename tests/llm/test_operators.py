@@ -228,6 +228,16 @@ def test_every_partner_in_a_frequent_group(spark):
     assert found >= 298, found
 
 
+def test_pipeline_cuts_with_every_partner_of_a_frequent_phrase(spark):
+    import corpus_pipeline
+
+    phrase = prose(42, 50)
+    texts = [(i, prose(30, 4000 + i) + " " + phrase + " " + prose(10, 5000 + i % 300) + " " + prose(30, 6000 + i)) for i in range(600)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, 6), "doc_id long, text string")
+    got = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.fresh_passages(spark, frame, "").collect()}
+    assert all(got[i] == 112 for i in range(300)) and sum(got[i] in range(54, 64) for i in range(300, 600)) >= 298
+
+
 def test_probes_meet_each_passage_that_is_left():
     r = random.Random(8)
     for n in (1, 30, 46, 47, 100, 300):
