@@ -161,11 +161,6 @@ def near_parities(a: str, b: str, n_a: str, n_b: str, similarity: float) -> Colu
     return differ * (1000 + per_mille) <= (F.col(n_a) + F.col(n_b)) * (1000 - per_mille)
 
 
-def high(x: Column | str) -> Column:
-    """The upper half of a long, as an int."""
-    return F.shiftright(x, 32).cast("int")
-
-
 def first_shared(a: str, b: str) -> Column:
     """The first place at which two arrays are equal, from 0; -1 where none is."""
     return (F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1).cast("int")
@@ -242,14 +237,14 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
             break
         last = turn == pivots or cost <= 4 * all_
         if last:
-            # Bands are compared by 32 bits; that a pair seems to meet earlier than it does has a chance of bands / 2^32.
+            # Whole bands are compared, so a pair is met in the first bucket that both are in, whatever other bands look like.
             brief = sets.select("doc_id", F.size("shingles").alias("n"), "parities")
-            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", F.transform("bands", high).alias("marks")).dropDuplicates(["doc_id"]), "doc_id").join(brief, "doc_id")
-            outside = drawn.where("label != main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "label", "n", "parities", "marks")))
-            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "main", "n", "parities", "marks")
+            drawn = open_.select("bucket", "doc_id", "label", "main").join(s.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id").join(brief, "doc_id")
+            outside = drawn.where("label != main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "label", "n", "parities", "bands")))
+            every = drawn.select(F.col("bucket").alias("of_bucket"), "doc_id", "label", "main", "n", "parities", "bands")
             # Of two texts that are both outside, the one with the lesser id stands on the left.
             once = (F.col("bucket") == F.col("of_bucket")) & (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_doc_id") < F.col("doc_id")))
-            pairs = outside.join(every, once & near_parities("x_parities", "parities", "x_n", "n", similarity) & (F.get("marks", first_shared("x_marks", "marks")) == high("bucket"))).select(F.col("x_doc_id").alias("a"), F.col("doc_id").alias("b"))
+            pairs = outside.join(every, once & near_parities("x_parities", "parities", "x_n", "n", similarity) & (F.get("bands", first_shared("x_bands", "bands")) == F.col("bucket"))).select(F.col("x_doc_id").alias("a"), F.col("doc_id").alias("b"))
         else:
             pairs = open_.where("label != of").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
         classes = merged(classes, cut(linked(pairs, sets, similarity)))

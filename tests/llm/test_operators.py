@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plainsql.llm import bpe, compact_windows, dart_minhash, language_id, linear, packing, quality_ftrl, quality_rules, suffix_dedup, telephony, toxicity
@@ -249,6 +250,16 @@ def test_probes_meet_each_passage_that_is_left():
                 assert asks[i : i + 46].sum() >= min(6, left[i : i + 46].sum())
 
 
+def test_a_word_left_between_removed_runs_is_asked_for():
+    """A passage that lacks all five places of that word has all others, so it must hold a sixth probe."""
+    for at in (1, 20, 46, 90):
+        left = np.zeros(100, bool)
+        left[at : at + 5] = True
+        asks = compact_windows.probes(np.zeros(100, np.int64), left) | compact_windows.crossed(left)
+        assert all(asks[i : i + 46].sum() >= 6 for i in range(max(0, at - 40), min(55, at)))
+    assert not compact_windows.crossed(np.ones(60, bool)).any() and not compact_windows.crossed(np.arange(60) < 5).any()
+
+
 def test_hashes_of_words_part_texts_as_split_does():
     r = random.Random(9)
     letters = "ab\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0     　​\x00é日\U0001f600"
@@ -313,6 +324,17 @@ def test_last_step_of_a_family_compares_each_pair_once(spark, monkeypatch):
     assert by_key(dart_minhash.near_duplicates(frame)) == sorted(classes(rows), key=str)
 
 
+def test_last_step_keeps_pairs_whose_earlier_bands_are_half_alike(spark, monkeypatch):
+    """The upper half of every text's first band is the same; it is in no bucket with another, and its pairs meet in a later band."""
+    words = prose(100, 60).split(" ")
+    rows = [(i, " ".join([*words[:40], f"new{i}", *words[40:]])) for i in range(6)]
+    whole = dart_minhash.signed
+    first = F.concat(F.array(F.lit(7 << 32) + F.col("doc_id")), F.slice("bands", 2, 100))
+    monkeypatch.setattr(dart_minhash, "signed", lambda docs, *more: whole(docs, *more).withColumn("bands", first))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_key(dart_minhash.near_duplicates(frame, pivots=0)) == sorted(classes(rows)) == [(i, 0) for i in range(6)]
+
+
 def test_linked_loses_no_pair(spark):
     rng = random.Random(4)
     base = [rng.randrange(-(2**31), 2**31) for _ in range(4000)]
