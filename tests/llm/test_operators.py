@@ -260,6 +260,28 @@ def test_a_word_left_between_removed_runs_is_asked_for():
     assert not compact_windows.crossed(np.ones(60, bool)).any() and not compact_windows.crossed(np.arange(60) < 5).any()
 
 
+def test_hits_are_weighed_by_the_probes_that_a_partner_lacks(monkeypatch):
+    r = random.Random(11)
+    for turn in range(100):
+        monkeypatch.setattr(compact_windows, "CELLS", 50 if turn % 2 else 1 << 20)
+        size = np.array([r.choice([30, 46, 47, 60, 400]) for _ in range(r.randrange(1, 5))])
+        asks = np.array([r.random() < r.choice([0.2, 0.5]) for _ in range(size.sum())])
+        hits = [(g, p) for g in range(3) for q in [r.choice([0.3, 0.6, 0.9])] for p in np.flatnonzero(asks).tolist() if r.random() < (q if p % 200 < 100 else 0.2)]
+        if not hits:
+            continue
+        stop = np.cumsum(size)
+        want = []
+        for g, p in hits:
+            has = {q for h, q in hits if h == g}
+            end = int(stop[np.searchsorted(stop, p, side="right")])
+            begin = end - int(size[np.searchsorted(stop, p, side="right")])
+            lacks = [0, *np.cumsum([asks[q] and q not in has for q in range(begin, end)]).tolist()]
+            starts = range(max(begin, p - 137), min(end - 46, p + 92) + 1)
+            want.append(any(lacks[s - begin + 46] - lacks[s - begin] <= 5 for s in starts))
+        group, at = (np.array(x) for x in zip(*hits, strict=True))
+        assert compact_windows.hopeful(size, asks, at, group).tolist() == want
+
+
 def test_hashes_of_words_part_texts_as_split_does():
     r = random.Random(9)
     letters = "ab\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0     　​\x00é日\U0001f600"
