@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plainsql.llm import bpe, compact_windows, dart_minhash, language_id, linear, packing, quality_ftrl, quality_rules, suffix_dedup, telephony, toxicity
+from plainsql.llm import bpe, compact_windows, dart_minhash, language_id, linear, packing, quality_ftrl, quality_rules, suffix_dedup, telephony, text, toxicity
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäé") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
@@ -282,6 +283,52 @@ def test_hits_are_weighed_by_the_probes_that_a_partner_lacks(monkeypatch):
         assert compact_windows.hopeful(size, asks, at, group).tolist() == want
 
 
+def test_steps_leave_no_shuffle_files_and_packs_change_nothing(spark, monkeypatch):
+    """What a step has shuffled goes when it is stored, though everything still refers to it."""
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+    held, cut = [], text.cut
+    monkeypatch.setattr(text, "cut", lambda df: (held.append(df), cut(df))[1])
+    phrase = prose(42, 50)
+    rows = [(i, prose(30, 4000 + i) + " " + phrase + " " + prose(10, 5000 + i % 100) + " " + prose(30, 6000 + i)) for i in range(200)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    monkeypatch.setattr(compact_windows, "CHUNK", 4000)
+    got = []
+    for pack in (1, 8):
+        monkeypatch.setattr(compact_windows, "PACK", pack)
+        before = files()
+        result = compact_windows.deduplicated(frame)
+        assert len(files() - before) <= 2, pack  # of the number of chunks
+        got.append(by_key(result))
+    assert got[0] == got[1] and sum(r[2] > 0 for r in got[0]) >= 98
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false" and len(held) == 6
+
+
+def test_columns_are_ordered_as_by_lexsort():
+    r = np.random.default_rng(1)
+    for k in range(300):
+        n = int(r.integers(0, 50))
+        columns = [r.integers(0, 3, n).astype(np.uint8), r.integers(-5, 5, n), r.integers(0, 1 << 62, n).astype(np.uint64) * np.uint64(3), r.integers(0, 1 << 62, n), r.integers(0, 1 << 32, n).astype(np.uint32)]
+        columns[3][: k % 2] = text.LAST_ID
+        columns = [columns[i] for i in r.permutation(5)[: r.integers(1, 6)]]
+        assert (compact_windows.ordered(*columns) == np.lexsort(columns)).all()
+        x = np.sort(columns[0])
+        assert (compact_windows.distinct(x) == np.unique(x)).all() and (compact_windows.among(columns[0], x[::3]) == np.isin(columns[0], x[::3])).all()
+
+
+def test_words_go_with_the_white_space_after_them():
+    r = random.Random(10)
+    letters = "ab\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u3000\u2003\u200bé日\U0001f600"
+    for k in range(300):
+        data = "".join(r.choice(letters if k % 2 else letters[:14] + "é日") for _ in range(60)).encode() + b"\xff" * (k % 5 == 0) + b" end"
+        t = data.decode("utf-8", "replace")
+        starts = [m.start() for m in re.finditer(r"\S+", t)] + [len(t)]
+        i, j = sorted(r.sample(range(len(starts)), 2))
+        assert compact_windows.without_words(data, [[i, j]]) == (t[: starts[i]] + t[starts[j] :]).encode()
+
+
 def test_hashes_of_words_part_texts_as_split_does():
     r = random.Random(9)
     letters = "ab\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0     　​\x00é日\U0001f600"
