@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plainsql.llm import bpe, compact_windows, dart_minhash, language_id, linear, packing, quality_ftrl, quality_rules, suffix_dedup, telephony, text, toxicity
+from plainsql.llm import bpe, chunks, compact_windows, dart_minhash, language_id, linear, packing, quality_ftrl, quality_rules, suffix_dedup, telephony, text, toxicity
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäé") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
@@ -306,6 +306,49 @@ def test_steps_leave_no_shuffle_files_and_packs_change_nothing(spark, monkeypatc
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false" and len(held) == 6
 
 
+def test_a_line_that_texts_repeat_is_matched_in_bounded_memory(monkeypatch):
+    """Two asks for one shingle with many earlier places are not multiplied, and parts of any size give the same partners."""
+    import tracemalloc
+
+    r, n, most = np.random.default_rng(5), 3000, 1 << 30
+    sent = []
+    for chunk in range(4):  # each chunk: one text of n places, all of one shingle but some
+        key = np.sort(np.where(np.arange(n) % 50 == chunk, r.integers(8, 90, n), 7).astype(np.uint32))
+        sent.append(compact_windows.dump(chunk, np.diff(key, prepend=key[:1] * 0), np.zeros(n, np.int16), r.permutation(n).astype(np.int32), r.random(n) < 0.4, np.array([3], np.int32), np.array([10 * chunk])))
+
+    def found(most: int, turns: int) -> list[tuple]:
+        by_chunk: dict = {}
+        for c, m in compact_windows.matches_of(sent, most):
+            by_chunk.setdefault(c, []).append(m)
+        out = []
+        for c, ms in by_chunk.items():
+            asks = np.zeros(n, bool)
+            asks[np.concatenate([m[1] for m in ms])] = True
+            for turn in range(turns):
+                for x in compact_windows.partners(np.array([3]), np.array([0]), np.array([n]), asks, [compact_windows.some_of(m, turn, turns) for m in ms]):
+                    out += [(c, *y) for y in zip(*(v.tolist() for v in x), strict=True)]
+        return sorted(out)
+
+    tracemalloc.start()
+    total = sum(x.nbytes for _, m in compact_windows.matches_of(sent, most) for x in m)
+    assert total < 1 << 20 and tracemalloc.get_traced_memory()[1] < 8 << 20  # all pairs had over 10 million places
+    tracemalloc.stop()
+    want = found(most, 1)
+    pairs = {(c, c2) for c in range(4) for c2 in range(c)}
+    assert {(x[0], x[1]) for x in want} == pairs and sum(x[-1] for x in want if x[:2] == (1, 0)) > 1_000_000
+    for most, turns, hits in ((1, 1, 1 << 19), (1 << 30, 3, 1 << 19), (40_000, 2, 500)):
+        monkeypatch.setattr(compact_windows, "HITS", hits)
+        assert found(most, turns) == want
+
+
+def test_a_pack_that_all_ask_is_answered_in_turns():
+    rows = [{"pack": p, "asker": a, "chunk": c, "value": chunks.dump(np.arange(500) * (a + 1))} for p in (0, 1) for a in range(-1, 6) for c in (0, 1)]
+    turns = list(chunks.in_turns(iter(rows), 12_000))
+    assert [len(docs) for docs, _ in turns] == [2] * len(turns) and len(turns) == 6
+    assert [r for _, waiting in turns for r in waiting] == [r for r in rows if r["asker"] >= 0]
+    assert all(len(waiting) == 4 for _, waiting in turns) and len(list(chunks.in_turns(iter(rows), 1 << 30))) == 2
+
+
 def test_columns_are_ordered_as_by_lexsort():
     r = np.random.default_rng(1)
     for k in range(300):
