@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plainsql.functions import aggregates, scalars
-from plainsql.operators.joins import tolerant_join
+from plainsql.operators.joins import sliced_join, tolerant_join
 from plainsql.operators.running import numbered, running, settled
 from plainsql.operators.semantics import Value, arithmetic, compare, double, kind_of
 from plainsql.plans.parser import Select, Source, SqlError
@@ -149,7 +149,10 @@ class Planner:
             if "num" in (a[3], b[3]) and {a[3], b[3]} <= {"num", "int"}:
                 return tolerant_join(left, right, a[2], b[2])
             return left.join(right, F.col(a[2]) == F.col(b[2]))
-        return self.joined(left, right, self.pairs(old, new))
+        pairs = self.pairs(old, new)
+        if (exact := self.exact(pairs)) and len(self.select.sources) == 2 and (bound := next(filter(None, (self.bound(c, old, new) for c in self.conjuncts(self.select.where))), None)):
+            return sliced_join(left, right, [(a[2], b[2]) for a, b in exact], *bound)
+        return self.joined(left, right, pairs)
 
     def pairs(self, old: list, new: list) -> list[tuple]:
         return [p for p in map(lambda c: self.join_keys(c, old, new), self.conjuncts(self.select.where)) if p]
@@ -203,6 +206,14 @@ class Planner:
         a, b = (a, b) if a in old else (b, a)
         return (a, b) if a in old and b in new and ("num" in (a[3], b[3]) and {a[3], b[3]} <= {"num", "int"} or a[3] == b[3]) else None
 
+    def bound(self, t: tuple, old: list, new: list) -> tuple[str, str, bool] | None:
+        """The whole-numbered columns of both sides that a conjunct orders, and whether the first source's is the lesser one."""
+        found = self.join_keys(("cmp", "=", *t[2:]), old, new) if t[0] == "cmp" and t[1] in ("<", "<=", ">", ">=") else None
+        if not found or {found[0][3], found[1][3]} != {"int"}:
+            return None
+        first = self.join_keys(("cmp", "=", t[2], t[2]), old, old)
+        return found[0][2], found[1][2], (t[1][0] == "<") == bool(first)
+
     # SELECT
 
     def items(self) -> list[tuple[tuple, str]]:

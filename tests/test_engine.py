@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plainsql import Engine
 from plainsql.__main__ import main
 from plainsql.functions.aggregates import appended, profile
+from plainsql.operators import joins
 from plainsql.operators.joins import tolerant_join
 from plainsql.plans.parser import SqlError, number, parse
 from plainsql.plans.words import pipeline
@@ -324,3 +325,19 @@ def test_functions_by_byte_and_seed(spark):
     assert one(e, "select random(1)") == one(e, "select random(1)") != one(e, "select random(2)")
     assert one(e, "select srandom(5)") == (5.0,) and one(e, "select random()") == one(e, "select random(5)")
     assert one(e, "select xmlpath('<a><x><b>1</b></x><b>2</b></a>', '/a/b'), xmlpath('<a/>', 'b'), jsonpath('{a: {\"q\": [{\"b\": 7}]}, \"b\": 1}', 'a.b')") == ("1,2", None, "7")
+
+
+@pytest.mark.parametrize("test", ["a.v < b.v", "b.v > a.v", "a.v >= b.v", "b.v <= a.v and a.v <> b.v"])
+def test_a_join_of_few_keys_is_dealt_out(spark, monkeypatch, test):
+    """One key has most rows, and some are null: its pairs go to many tasks, each once."""
+    monkeypatch.setattr(joins, "MANY_PAIRS", 1)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 3000)
+    rows = [(1 if i % 10 else None if i % 20 else 2, None if i % 41 == 7 else i * 37 % 200) for i in range(300)]
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame(rows, "k int, v bigint"))
+    df = e.sql(f"select a.v as x, b.v as y from t a, t b where a.k = b.k and {test}")
+    holds = {"a.v < b.v": lambda x, y: x < y, "b.v > a.v": lambda x, y: x < y, "a.v >= b.v": lambda x, y: x >= y}.get(test, lambda x, y: x > y)
+    want = sorted((v, w) for k, v in rows for m, w in rows if k is not None and k == m and v is not None and w is not None and holds(v, w))
+    parts = [len(p) for p in df.rdd.glom().collect()]
+    assert sorted(tuple(r) for r in df.collect()) == want and sum(parts) == len(want)
+    assert max(parts) < 0.4 * len(want) and sum(n > 0 for n in parts) > 4
